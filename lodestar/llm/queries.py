@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import simhash
+from lodestar.llm import mixing, simhash
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -13,3 +13,9 @@ QUERIES, ORACLES = _registry.queries, _registry.oracles
 def op8_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_registry.add("op7_mixing", mixing.MIX_SQL)
+def op7_mixing(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
