@@ -63,19 +63,22 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of left with right on key, where right has one row per key.
-
-    right[weight] is the number of left rows of that key. The HOT_KEYS heaviest
-    keys are joined by broadcast, whatever share of the rows they hold; the
-    others are shuffled, none of them holding over 1 / HOT_KEYS of the rows.
-    Both ways are exact, and no row is lost or repeated. Both inputs should be
-    materialized, since each is read twice. Null keys must be replaced before.
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Join left with right on key, where right has one row per key (how: inner or left).
+
+    right[weight] is the number of left rows of that key. Up to BROADCAST_ROWS
+    rows, right is broadcast. Beyond, its HOT_KEYS heaviest keys are, whatever
+    share of the rows they hold, and the others are shuffled, none of them
+    with over 1 / HOT_KEYS of the rows. Every way is exact. right must be
+    materialized, since it is read more than once; left should be. Null keys
+    must be replaced before.
     """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
     hot = right.orderBy(F.desc(weight), key).limit(HOT_KEYS)
     cold = right.join(F.broadcast(hot.select(key)), key, "left_anti")
     few = left.join(F.broadcast(hot), key, "inner")
-    many = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, "inner")
+    many = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
     return few.select(*few.columns).unionByName(many.select(*few.columns))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, simhash
+from lodestar.llm import line_quality, mixing, simhash, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -19,3 +19,16 @@ def op8_simhash(spark, sf_dir):
 def op7_mixing(spark, sf_dir):
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@_registry.add("op4_line_quality", line_quality.DIGEST_SQL)
+def op4_line_quality(spark, sf_dir):
+    """Base measures and verdict of every document."""
+    judged = line_quality.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
+    return judged.drop("n_lost_words", "clean_text")
+
+
+@_registry.add("op3_warc", warc.ROUND_TRIP_SQL)
+def op3_warc(spark, sf_dir):
+    """What the archives of all pages say of each page."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
