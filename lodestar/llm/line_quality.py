@@ -157,7 +157,7 @@ WITH d AS (
 ), twice AS (
   SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS c FROM p) WHERE c > 1
 ), cover AS (
-  SELECT r, count(DISTINCT at) AS n_repeat_words FROM (SELECT r, unnest([k, k + 1, k + 2]) AS at FROM twice) GROUP BY r
+  SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest([k, k + 1, k + 2]) AS pos FROM twice) GROUP BY r
 ), m AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import line_quality, mixing, simhash, warc
+from lodestar.llm import line_quality, mixing, quality_classifier, simhash, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -32,3 +32,10 @@ def op4_line_quality(spark, sf_dir):
 def op3_warc(spark, sf_dir):
     """What the archives of all pages say of each page."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@_registry.add("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    """Evidence, site prior and verdict of every document."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.classify(documents, labels).drop("row_key")
