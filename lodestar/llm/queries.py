@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import line_quality, mixing, quality_classifier, simhash, warc
+from lodestar.llm import decontaminate, line_quality, mixing, quality_classifier, simhash, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -39,3 +39,9 @@ def op6_quality_classifier(spark, sf_dir):
     """Evidence, site prior and verdict of every document."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_classifier.classify(documents, labels).drop("row_key")
+
+
+@_registry.add("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    """Every document with the benchmark items that it contains."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
