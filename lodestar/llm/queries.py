@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, line_quality, mixing, quality_classifier, simhash, warc
+from lodestar.llm import decontaminate, line_quality, mixing, quality_classifier, sharding, simhash, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -45,3 +45,9 @@ def op6_quality_classifier(spark, sf_dir):
 def op1_decontamination(spark, sf_dir):
     """Every document with the benchmark items that it contains."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_registry.add("op10_sharding")
+def op10_sharding(spark, sf_dir):
+    """The shard that every document has after compaction."""
+    return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard", "shard_bytes", "version")
