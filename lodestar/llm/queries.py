@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, line_quality, mixing, quality_classifier, sharding, simhash, warc
+from lodestar.llm import decontaminate, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -51,3 +51,13 @@ def op1_decontamination(spark, sf_dir):
 def op10_sharding(spark, sf_dir):
     """The shard that every document has after compaction."""
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard", "shard_bytes", "version")
+
+
+#: The public vocabulary that the query counts by; a file outside the repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_registry.add("op5_token_counts")
+def op5_token_counts(spark, sf_dir, model_file=PIECES):
+    """Tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), model_file)
