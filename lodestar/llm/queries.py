@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
+from lodestar.llm import decontaminate, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -61,3 +61,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 def op5_token_counts(spark, sf_dir, model_file=PIECES):
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model_file)
+
+
+@_registry.add("op9_license_scan")
+def op9_license_scan(spark, sf_dir):
+    """Every place of a license notice in the documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
