@@ -63,17 +63,18 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join left with right on key, where right has one row per key (how: inner or left).
 
-    right[weight] is the number of left rows of that key. Up to BROADCAST_ROWS
-    rows, right is broadcast. Beyond, its HOT_KEYS heaviest keys are, whatever
+    right[weight] is the number of left rows of that key. Up to rows rows
+    (BROADCAST_ROWS by default), right is broadcast. Beyond, its HOT_KEYS heaviest keys are, whatever
     share of the rows they hold, and the others are shuffled, none of them
     with over 1 / HOT_KEYS of the rows. Every way is exact. right must be
     materialized, since it is read more than once; left should be. Null keys
     must be replaced before.
     """
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows = BROADCAST_ROWS if rows is None else rows
+    if right.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(right), key, how)
     hot = right.orderBy(F.desc(weight), key).limit(HOT_KEYS)
     cold = right.join(F.broadcast(hot.select(key)), key, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
+from lodestar.llm import decontaminate, html_wrappers, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -67,3 +67,9 @@ def op5_token_counts(spark, sf_dir, model_file=PIECES):
 def op9_license_scan(spark, sf_dir):
     """Every place of a license notice in the documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@_registry.add("op2_main_text")
+def op2_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
