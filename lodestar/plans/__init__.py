@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "matching")
+MODULES = ("retrieval", "matching", "graph")
 
 
 def load() -> None:
