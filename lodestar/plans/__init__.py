@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "matching", "graph")
+MODULES = ("retrieval", "matching", "graph", "sources")
 
 
 def load() -> None:
