@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "matching", "graph", "sources", "silver")
+MODULES = ("retrieval", "matching", "graph", "sources", "silver", "reports")
 
 
 def load() -> None:
