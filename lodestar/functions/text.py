@@ -17,15 +17,15 @@ LETTERS = "[a-záéíóúâêîôûãõç]+"
 CONTENT_FLAGS = {
     "has_table": r"\|\s*-{3,}\s*\|",
     "has_date": r"\b\d{2}/\d{2}/\d{4}\b",
-    "has_money": r"(?i)R\$\s*[\d.,]+|\bmilhões\b|\bbilhões\b",
-    "has_eligibility": r"(?i)\belegív|\bproponente|\bexecutora|\bcoexecutora|\bICT\b|\bCNPJ\b",
-    "has_criteria": r"(?i)\bnota\b|\bpeso\b|\bcrit[ée]rio|\bpontua|\bclassifica",
+    "has_money": r"(?iu)R\$\s*[\d.,]+|\bmilhões\b|\bbilhões\b",
+    "has_eligibility": r"(?iu)\belegív|\bproponente|\bexecutora|\bcoexecutora|\bICT\b|\bCNPJ\b",
+    "has_criteria": r"(?iu)\bnota\b|\bpeso\b|\bcrit[ée]rio|\bpontua|\bclassifica",
 }
 QUERY_FLAGS = {
-    "has_date": r"(?i)\bprazo|\bdata\b|\bquando\b|\bcronograma|\bvigên|\bvigenc|\bencerr|\bdeadline",
-    "has_money": r"(?i)\bvalor|\bquanto\b|\brecursos?\b|\borçament|\borcament|\bfinanc|\bmilhõ|\bmilho[e]?s|\bbilhõ|\bcontrapartida|\bverba|\bcusto",
-    "has_eligibility": r"(?i)\belegív|\belegiv|\bproponente|\bexecutora|\bcoexecutora|\bhabilita|\bquem\s+pode\b|\bICT\b|\bCNPJ\b",
-    "has_criteria": r"(?i)\bcrit[ée]rio|\bpontua|\bpeso\b|\bnota\b|\bavalia|\bclassifica|\bjulgament",
+    "has_date": r"(?iu)\bprazo|\bdata\b|\bquando\b|\bcronograma|\bvigên|\bvigenc|\bencerr|\bdeadline",
+    "has_money": r"(?iu)\bvalor|\bquanto\b|\brecursos?\b|\borçament|\borcament|\bfinanc|\bmilhõ|\bmilho[e]?s|\bbilhõ|\bcontrapartida|\bverba|\bcusto",
+    "has_eligibility": r"(?iu)\belegív|\belegiv|\bproponente|\bexecutora|\bcoexecutora|\bhabilita|\bquem\s+pode\b|\bICT\b|\bCNPJ\b",
+    "has_criteria": r"(?iu)\bcrit[ée]rio|\bpontua|\bpeso\b|\bnota\b|\bavalia|\bclassifica|\bjulgament",
 }
 
 

@@ -10,7 +10,7 @@ from lodestar.functions.text import contains_ws, fold, norm_ws, singular
 STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
 FALLBACK_SECTOR, MOST_SECTORS = "Multissetorial", 3
 METRIC_TAG = r"(?i)^(trl|crl|mrl)\s*\d"
-LEGAL_TAG = r"(?i)^(lei|decreto|portaria|resolu[cç][aã]o|art\.?|artigo)\s*(n[ºo.]*\s*)?\d"
+LEGAL_TAG = r"(?iu)^(lei|decreto|portaria|resolu[cç][aã]o|art\.?|artigo)\s*(n[ºo.]*\s*)?\d"
 GENERIC_TAGS = ("tecnologia", "inovacao", "inovação", "pesquisa", "desenvolvimento", "projeto", "empresa")
 
 

@@ -42,12 +42,12 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def call_fields(text: Column) -> dict[str, Column]:
     """Mode, areas, deadline (yyyy-mm-dd) and status that a call's text gives away."""
-    deadline = F.regexp_extract(text, r"(?i)(?:prazo|data.limite|inscri\S+ at[ée])\D{0,40}(\d{2}/\d{2}/\d{4})", 1)
+    deadline = F.regexp_extract(text, r"(?iu)(?:prazo|data.limite|inscri\S+ at[ée])\D{0,40}(\d{2}/\d{2}/\d{4})", 1)
     day = F.try_to_date(F.nullif(deadline, F.lit("")), "dd/MM/yyyy")
-    flows = text.rlike("(?i)fluxo cont[íi]nuo")
+    flows = text.rlike("(?iu)fluxo cont[íi]nuo")
     return {
-        "mode": F.nullif(F.regexp_extract(text, r"(?i)modalidades?:\s*([^\n.]+)", 1), F.lit("")),
-        "areas": F.nullif(F.regexp_extract(text, r"(?i)[áa]reas?:\s*([^\n.]+)", 1), F.lit("")),
+        "mode": F.nullif(F.regexp_extract(text, r"(?iu)modalidades?:\s*([^\n.]+)", 1), F.lit("")),
+        "areas": F.nullif(F.regexp_extract(text, r"(?iu)[áa]reas?:\s*([^\n.]+)", 1), F.lit("")),
         "deadline": F.date_format(day, "yyyy-MM-dd"),
         "continuous": flows,
         "status": F.when(flows, "FLUXO_CONTINUO").when(day.isNotNull(), "ABERTA").otherwise("Desconhecido"),
