@@ -57,10 +57,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table, marked for broadcast if it has at most so many rows.
 
-    The table must be materialized or cheap: its rows are counted. Beyond the
-    bound the join shuffles both sides.
+    The table must be materialized: its rows are counted, from file footers.
+    Beyond the bound the join shuffles both sides.
     """
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+    return F.broadcast(table) if table.count() <= rows else table.hint("merge")
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     must be replaced before.
     """
     rows = BROADCAST_ROWS if rows is None else rows
-    if right.limit(rows + 1).count() <= rows:
+    if right.count() <= rows:
         return left.join(F.broadcast(right), key, how)
     hot = right.orderBy(F.desc(weight), key).limit(HOT_KEYS)
     cold = right.join(F.broadcast(hot.select(key)), key, "left_anti")
