@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestar.functions.text import contains_ws, fold, norm_ws, singular
+from lodestar.functions.text import fold, norm_ws, singular
 
 #: States, mechanisms, and the fallback of sectors with the most of an entity.
 STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
@@ -134,9 +134,20 @@ def resolve_quotes(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Rows (quote_id, quality, doc, page, n_candidates): exact on one page,
     document_only within one document, else unresolved. The search is within a
-    subject.
+    subject. A quote of three words or more is only looked for in blocks that
+    have its longest word but for the first and last, which may be cut.
     """
-    found = quotes.join(blocks, "subject").where(contains_ws(F.col("text"), F.col("quote")))
+    words = F.split("_q", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    asked = quotes.withColumn("_q", norm_ws(F.col("quote"))).where("_q <> ''").withColumn("_key", key)
+    spaced = blocks.withColumn("_t", norm_ws(F.col("text"))).drop("text")
+    held = F.contains("_t", F.col("_q"))
+    keyed = spaced.withColumn("_key", F.explode(F.array_distinct(F.split("_t", " "))))
+    long_ = asked.where("_key IS NOT NULL").join(keyed, ["subject", "_key"]).where(held)
+    short = asked.where("_key IS NULL").drop("_key").join(spaced, "subject").where(held)
+    columns = ["quote_id", "doc", "page", "idx"]
+    found = long_.select(*columns).unionByName(short.select(*columns))
     g = found.groupBy("quote_id").agg(F.countDistinct("doc").alias("docs"), F.countDistinct(F.coalesce("page", F.lit(-1))).alias("pages"), F.count("*").alias("n"), F.min("doc").alias("d"), F.max("page").alias("p"), F.count("page").alias("paged"))
     exact = (F.col("docs") == 1) & (F.col("pages") == 1) & ((F.col("paged") > 0) | (F.col("n") == 1))
     told = quotes.select("quote_id").join(g, "quote_id", "left")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "lodestar", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -26,3 +27,11 @@ def local_session(app: str = "lodestar", cpus: int | None = None, partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder of the session; one of its own only where none is named, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestar-"))
+    return df.checkpoint()
