@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +31,16 @@ def local_session(app: str = "lodestar", cpus: int | None = None, partitions: in
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder of the session; one of its own only where none is named, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestar-"))
-    return df.checkpoint()
+    """The rows, written as a table to the checkpoint folder and read again, so that plans of loops stay short.
+
+    The folder is the session's; one of its own only where none is named, as
+    in tests.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
+        folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
