@@ -8,7 +8,7 @@ sums. A document's log odds are those of its classifier with the base rate
 replaced by its path's posterior.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows
-(MAX_SAMPLE, those with the smallest hashes). Everything else covers all rows.
+(MAX_SAMPLE, chosen by hash). Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -167,7 +167,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     table = materialize(measured(docs, id_col, text_col, host_col, path_col), "features")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("label is not null")
     marks = marks.groupBy("doc_id").agg(F.avg("label").alias("label"))
-    sample = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id", "row_key")).limit(MAX_SAMPLE).select(*FEATURES, "label").toPandas()
+    labelled = table.join(marks, "doc_id")
+    # A hash threshold first, so that tasks send no more than the sample and a fifth together, however many they are.
+    share = min(1.0, 1.2 * MAX_SAMPLE / max(1, labelled.count()))
+    place = F.xxhash64("doc_id", "row_key")
+    some = labelled.where(F.pmod(place, F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    sample = some.orderBy(place).limit(MAX_SAMPLE).select(*FEATURES, "label").toPandas()
     model = fit(sample[list(FEATURES)].to_numpy(np.float64), (sample["label"].to_numpy(np.float64) >= 0.5).astype(np.float64))
     evidence = table.select("doc_id", "row_key", "host", "path", model.logit().alias("logit"))
     scored = evidence.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit"))))))
