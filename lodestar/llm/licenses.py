@@ -164,18 +164,40 @@ def matches(words: list[str], template: list[str]) -> Iterator[tuple[float, int,
         left += 1
 
 
+def best_of_like(places: list[tuple[str, float, int, int]], sizes: dict[str, int]) -> list[tuple[str, float, int, int]]:
+    """Places (name, coverage, start, end) without those that another template fits better.
+
+    Two places are alike if they share half of what they cover together or
+    more. A template fits by twice its matched words over its own words and
+    those of the place, so that a notice with a word left out or too many
+    gives way to the one that is there; equals all stay.
+    """
+    places = sorted(places, key=lambda p: (p[2], p[3], p[0]))
+    fit = [2 * round(c * sizes[n]) / (sizes[n] + e - s) for n, c, s, e in places]
+    gone = set()
+    for k, (name, _, s, e) in enumerate(places):
+        for j in range(k + 1, len(places)):
+            other, _, s2, e2 = places[j]
+            if s2 >= e:
+                break
+            if other != name and 2 * (min(e, e2) - s2) >= max(e, e2) - s and fit[j] != fit[k]:
+                gone.add(k if fit[j] > fit[k] else j)
+    return [p for k, p in enumerate(places) if k not in gone]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, license, coverage, start_word, end_word) per place of a template in a document.
 
     Places cover COVERAGE of the template's words at least, in SPAN times its
-    words at most; those of one template do not overlap, those of different
-    ones can. Word numbers count runs of letters and digits. Null and empty
+    words at most; those of one template do not overlap. Of different ones that
+    cover nearly the same words the best fit stays. Word numbers count runs of letters and digits. Null and empty
     texts and templates match nothing; repeated rows each give their places;
     other columns are ignored.
     """
     known = [(name, words_of(text)) for name, text in sorted(templates.items()) if words_of(text)]
     needed = [(name, t, frozenset(t), -int(-COVERAGE * len(t) // 1) - (len(t) - len(set(t)))) for name, t in known]
     # A text with fewer distinct words of the vocabulary than the least template needs has no place.
+    sizes = {name: len(t) for name, t in known}
     vocabulary, least = frozenset().union(*(s for _, _, s, _ in needed)), min((k for *_, k in needed), default=1)
     schema = "doc_id long, license string, coverage double, start_word long, end_word long"
 
@@ -187,9 +209,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
                 present = vocabulary.intersection(words)
                 if len(present) < least:
                     continue
+                places = []
                 for name, template, distinct, least_distinct in needed:
                     if len(distinct & present) >= least_distinct:
-                        rows += [(doc_id, name, *place) for place in matches(words, template)]
+                        places += [(name, *place) for place in matches(words, template)]
+                rows += [(doc_id, *place) for place in best_of_like(places, sizes)]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])

@@ -65,3 +65,11 @@ def test_places_against_brute_force():
         assert bool(found) == possible
         for coverage, s, e in found:
             assert li.aligned(template, text[s:e]) == round(coverage * 7) >= need
+
+
+def test_like_notices_are_told_apart(spark):
+    lines = {"CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.", "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.", "CC-BY-4.0-line": "Licensed under CC BY 4.0.", "MIT-line": "Released under the MIT License.", "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3."}
+    docs = spark.createDataFrame([(k, f"Some text.\n{line}\nMore text.") for k, line in enumerate(lines.values())], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.coverage) for r in li.scan(docs).collect())
+    assert got == [(k, name, 1.0) for k, name in enumerate(lines)]
+    assert ("Apache-2.0-line" in {r.license for r in li.scan(spark.createDataFrame([(1, li.TEMPLATES["Apache-2.0"])], "doc_id long, text string")).collect()})
