@@ -147,7 +147,7 @@ def query_flags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "metadata_boost",
-    """SELECT doc_id AS id, round(n_chars * CASE WHEN contains(text, 'a') OR lang = 'de' THEN 1.2 ELSE 1 END, 6) AS score FROM documents""",
+    """SELECT doc_id AS id, round(n_chars * CASE WHEN contains(text, 'a') OR lang = 'de' THEN 1.2 ELSE 1 END::DOUBLE, 6) AS score FROM documents""",
 )
 def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores raised once where any wanted flag holds."""
