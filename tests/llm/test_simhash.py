@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
-from lodestar.llm import simhash
+from lodestar.llm import common, simhash
 
 
 def slow(text):
@@ -58,7 +59,10 @@ def corpus():
     return rows + [(None, texts[2]), (None, "nobody else has this text here at all"), (rows[0][0], texts[0]), (0, "the same id with another text")]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, fp int, n string")
     got = sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str)
