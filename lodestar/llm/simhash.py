@@ -198,7 +198,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fps, named = classes(docs, id_col, text_col)
     own = attach(fps, named, "fp", "n").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = own.groupBy("root").agg(F.min("doc_id").alias("__kept_id"), F.min("fp").alias("__kept_fp")).drop("root")
-    chosen = materialize(chosen, "chosen")
+    # Documents are shuffled by id at every size: what stays is a share of the rows, too many to broadcast.
+    chosen = materialize(chosen, "chosen").hint("shuffle_hash")
     same_id = docs[id_col].eqNullSafe(F.col("__kept_id"))
     rows = docs.join(chosen, same_id, "left_semi")
     if fps.groupBy("doc_id").count().where("count > 1").isEmpty():
