@@ -51,8 +51,7 @@ def letter_tokens(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Letter tokens of three letters or more that are no stopwords."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(letter_tokens(text), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    return F.filter(letter_tokens(text), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS))
 
 
 def or_query(text: Column, terms: int = 8) -> Column:
