@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, mixing, quality_classifier, sharding, simhash
+from lodestar.llm import decontaminate, mixing, near_copies, quality_classifier, sharding, simhash
 from lodestar.llm.common import materialize
 
 
@@ -23,6 +23,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, then one of each group of near copies.
+
+    Near duplicates have almost equal fingerprints; near copies share 0.8 of
+    their five-word shingles, which fingerprints are too short to tell.
+    """
+    return near_copies.keep_one(materialize(near_duplicates(spark, docs, sf_dir), "near_duplicates"))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -40,7 +49,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("simhash near-dedup", near_duplicates),
+    ("simhash near-dedup", unlike),
     ("benchmark decontamination", decontamination),
     ("mixing to target weights", mix),
     ("sharding", shards),
