@@ -4,18 +4,20 @@ A document is contaminated by an item if some run of its words is within
 floor(MAX_EDITS * n) word edits of the item's n words. Both texts are
 lower-cased and punctuation separates words.
 
-Method: windows of the item's size are embedded by CGK random walks, which map
-edit distance to Hamming distance: at each step a window emits the word under
-its pointer, and a random bit of (step, word) moves the pointer or not.
-Bit-sampling LSH takes SAMPLED steps of a walk as a key; repeats(n) independent
-walks bring the recall at the edit limit up to the target. Documents and items
-that agree on a key are candidates, and each is verified by the exact edit
-distance of the item to any run of words near the window.
-
-Which windows are embedded is decided by a lossless filter: k edits spoil at
-most 2k of an item's n - 1 pairs of adjacent words, so the n + k words from
-the start of a match have n - 1 - 2k of the benchmark's pairs at least, and
-the first of them is a word of the benchmark.
+Method: texts are embedded by CGK random walks, which map edit distance to
+Hamming distance: at each step a walk emits the word under its pointer, and a
+random bit of (step, word) moves the pointer or not. Bit-sampling LSH takes
+SAMPLED steps of a walk as a key; repeats(n) independent walks bring the recall
+at the edit limit up to the target. The walks of an item start at anchors
+spread over all its words, those of a document at every word where a match may
+lie, so wherever the edits are, some walks run through words without any.
+Documents and items that agree on a key are candidates, and each is verified by
+the exact edit distance of the item to any run of words near the window.
+
+Where walks start in a document is decided by a lossless filter: k edits spoil
+at most 2k of an item's n - 1 pairs of adjacent words, so the n + k words from
+the first unedited word of a match have n - 1 - 2k of the benchmark's pairs at
+least. Every word of the benchmark in such a window is a start.
 
 Items are taken in blocks of bounded size, each of which is one pass over the
 documents with the block's keys sent to the executors. Within a pass documents
@@ -37,6 +39,8 @@ from lodestar.llm.common import bounded, materialize
 MAX_EDITS = 0.2
 #: Steps of a walk in a key, independent walks, and words of an item for one walk more.
 SAMPLED, REPEATS, WORDS_A_WALK = 2, 12, 10
+#: Steps of a walk at most: every edit before a step makes it less likely to agree.
+REACH = 16
 #: Items and characters of a block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 #: Windows embedded at once, which bounds memory.
@@ -97,13 +101,21 @@ def repeats(n: int) -> int:
 
 
 def sampled_steps(n: int) -> np.ndarray:
-    """Steps (repeats(n), SAMPLED) of the walks of windows of n words that make up the keys, in rising order.
+    """Steps (repeats(n), SAMPLED) of the walks of items of n words that make up the keys, in rising order.
 
-    A walk passes the end of a window after about 2n of its 3n steps. The
-    steps are drawn from the first n, since every edit before a step makes it
-    less likely to agree.
+    One step is drawn from each of SAMPLED equal parts of a walk.
     """
-    return np.sort(np.random.default_rng([SEED, n]).integers(0, n, (repeats(n), SAMPLED)), axis=1)
+    reach = min(n, REACH)
+    edges = np.arange(SAMPLED + 1) * reach // SAMPLED
+    high = np.maximum(edges[1:], edges[:-1] + 1)
+    return np.random.default_rng([SEED, n]).integers(edges[:-1], high, (repeats(n), SAMPLED))
+
+
+def anchors(n: int) -> np.ndarray:
+    """Words of an item of n words that its repeats(n) walks start at, one in each equal part of what keeps a walk inside."""
+    room = n - sampled_steps(n)[:, -1]
+    spread = (np.arange(repeats(n)) + np.random.default_rng([SEED, n, 1]).random(repeats(n))) / repeats(n)
+    return (spread * room).astype(np.int64)
 
 
 def _bits(symbols: np.ndarray, walk: int, part: int) -> np.ndarray:
@@ -111,18 +123,18 @@ def _bits(symbols: np.ndarray, walk: int, part: int) -> np.ndarray:
     return _mix(symbols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((walk * 65_537 + part) * 2 + 1))
 
 
-def keys(ids: np.ndarray, starts: np.ndarray, n: int, symbols: int) -> np.ndarray:
-    """LSH keys (windows, repeats(n)) of the windows of n ids from each start.
+def keys(ids: np.ndarray, starts: np.ndarray, n: int, symbols: int, shifts: np.ndarray | None = None) -> np.ndarray:
+    """LSH keys (starts, repeats(n)) of the walks from each start, or from shifts[r] words after it for walk r.
 
-    ids are below symbols. At step j a pointer has moved j words at most, and
-    steps beyond the first n aren't sampled, so walks stay in their windows.
+    ids are below symbols. At step j a pointer has moved j words at most, so
+    the walks of an item from its anchors stay inside.
     """
     steps, out = sampled_steps(n), np.empty((len(starts), repeats(n)), np.uint64)
     every, table = np.arange(symbols), None
     for r in range(repeats(n)):
         wanted = steps[r].tolist()
         key = np.full(len(starts), n * 64 + r, np.uint64)
-        pointer = starts.copy()
+        pointer = starts.copy() if shifts is None else starts + shifts[r]
         for j in range(wanted[-1] + 1):
             if j % 64 == 0:
                 table = _bits(every, r, j // 64)
@@ -174,7 +186,7 @@ def build(items: list[tuple[int, str | None]]) -> Block:
         ids = np.array([block.items[k][1] for k in mine], np.int64)
         if n > 1:
             block.pairs[_slots(ids[:, :-1].ravel(), ids[:, 1:].ravel())] = True
-        of = keys(ids.ravel(), np.arange(len(mine)) * n, n, len(block.vocabulary) + 1)
+        of = keys(ids.ravel(), np.arange(len(mine)) * n, n, len(block.vocabulary) + 1, anchors(n))
         found.append(of.ravel())
         owners.append(np.repeat(np.array(mine, np.int32), repeats(n)))
     if found:
@@ -206,7 +218,7 @@ def search(block: Block, texts: list[str | None]) -> list[tuple[int, int, int, i
         some = heads[_pairs_in(joint, heads, lengths[-1] + limit(lengths[-1])) >= min(n - 1 - 2 * limit(n) for n in lengths)]
         for n in lengths:
             starts = some[_pairs_in(joint, some, n + limit(n)) >= n - 1 - 2 * limit(n)]
-            _propose(block, flat, owner, starts, n, candidates)
+            _propose(block, flat, owner, _within(heads, starts, n + limit(n)), n, candidates)
     out = []
     for (text, item), starts in sorted(candidates.items()):
         found = _verify(block.items[item][1], flat, begins[text], ends[text], sorted(starts))
@@ -219,17 +231,26 @@ def _pairs_in(joint: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     return joint[np.minimum(starts + words - 1, len(joint) - 1)] - joint[starts]
 
 
+def _within(heads: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """Those of heads that lie in the first so many words from any start; both are in rising order."""
+    stop = np.searchsorted(heads, starts + words)
+    first = np.searchsorted(heads, starts)
+    first[1:] = np.maximum(first[1:], stop[:-1])
+    sizes = np.maximum(stop - first, 0)
+    return heads[np.repeat(first - (sizes.cumsum() - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def _propose(block: Block, flat: np.ndarray, owner: np.ndarray, starts: np.ndarray, n: int, candidates: dict[tuple[int, int], set[int]]) -> None:
-    """Add the windows that agree with an item on a key."""
-    starts = starts[starts + n <= len(flat)]
+    """Add the windows from which a walk of an item would agree with one from starts on a key."""
+    shifts = anchors(n).tolist()
     for at in range(0, len(starts), WINDOWS):
         some = starts[at : at + WINDOWS]
         found = keys(flat, some, n, len(block.vocabulary) + 1).ravel()
         low, high = np.searchsorted(block.keys, found, "left"), np.searchsorted(block.keys, found, "right")
         for hit in np.flatnonzero(high > low).tolist():
-            start = int(some[hit // repeats(n)])
+            at_word, start = int(some[hit // repeats(n)]), int(some[hit // repeats(n)]) - shifts[hit % repeats(n)]
             for item in set(block.owners[low[hit] : high[hit]].tolist()):
-                candidates.setdefault((int(owner[start]), item), set()).add(start)
+                candidates.setdefault((int(owner[at_word]), item), set()).add(start)
 
 
 def _verify(item: list[int], flat: np.ndarray, begin: int, end: int, starts: list[int]) -> tuple[int, int] | None:

@@ -50,6 +50,29 @@ def test_recall_at_the_limit(n):
     assert sum((i, i) in found for i in range(tries)) >= 0.93 * tries
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 30, 60, 150])
+@pytest.mark.parametrize("where", ["start", "second", "middle", "end", "both ends"])
+@pytest.mark.parametrize("kind", ["left out", "replaced", "inserted"])
+def test_recall_of_edits_in_one_place(n, where, kind):
+    rng, tries, k = random.Random(n), 60, dc.limit(n)
+    items = [[f"w{rng.randrange(2500)}" for _ in range(n)] for _ in range(tries)]
+
+    def cut(words, at, size):
+        new = [] if kind == "left out" else [f"z{rng.randrange(9999)}" for _ in range(size)]
+        return words[:at] + new + words[at if kind == "inserted" else at + size :]
+
+    def text(words, before):
+        if where == "both ends":
+            words = cut(cut(words, n - (k - k // 2), k - k // 2), 0, k // 2)
+        else:
+            words = cut(words, {"start": 0, "second": 1, "middle": (n - k) // 2, "end": n - k}[where], k)
+        return " ".join(before + words)
+
+    for before in ([], [f"q{rng.randrange(99)}" for _ in range(20)], [rng.choice([f"w{rng.randrange(2500)}", "q"]) for _ in range(60)]):
+        found = {(t, i) for t, i, _, _ in dc.search(dc.build(list(enumerate(map(" ".join, items)))), [text(i, before) for i in items])}
+        assert sum((i, i) in found for i in range(tries)) >= 0.93 * tries
+
+
 def test_against_brute_force(spark):
     rng = random.Random(7)
     vocab = [f"v{i}" for i in range(60)]
