@@ -7,6 +7,12 @@ import pytest
 from lodestar.llm import decontaminate as dc
 
 
+def pairs(items, texts):
+    """(text, item) pairs that the search finds, for items by number."""
+    block = dc.build(list(enumerate(items)))
+    return {(t, i) for t, k, _, _ in dc.search(block, texts) for i in block.ids[k]}
+
+
 def slow(item, words):
     """Least edits of item to any run of words, by the plain table."""
     row = [0] * (len(words) + 1)
@@ -46,7 +52,7 @@ def test_recall_at_the_limit(n):
     items = [[f"w{rng.randrange(2500)}" for _ in range(n)] for _ in range(tries)]
     noise = lambda: [f"q{rng.randrange(99)}" for _ in range(20)]
     texts = [" ".join(noise() + edited(i, dc.limit(n), rng) + noise()) for i in items]
-    found = {(t, i) for t, i, _, _ in dc.search(dc.build(list(enumerate(map(" ".join, items)))), texts)}
+    found = pairs(map(" ".join, items), texts)
     assert sum((i, i) in found for i in range(tries)) >= 0.93 * tries
 
 
@@ -69,7 +75,7 @@ def test_recall_of_edits_in_one_place(n, where, kind):
         return " ".join(before + words)
 
     for before in ([], [f"q{rng.randrange(99)}" for _ in range(20)], [rng.choice([f"w{rng.randrange(2500)}", "q"]) for _ in range(60)]):
-        found = {(t, i) for t, i, _, _ in dc.search(dc.build(list(enumerate(map(" ".join, items)))), [text(i, before) for i in items])}
+        found = pairs(map(" ".join, items), [text(i, before) for i in items])
         assert sum((i, i) in found for i in range(tries)) >= 0.93 * tries
 
 
@@ -111,3 +117,28 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(docs, none).collect() == [] and dc.keep_clean(docs, none).count() == 2
     assert dc.contaminated(docs.limit(0), marks).collect() == []
+
+
+@pytest.mark.parametrize("n", [5, 8, 10, 20, 40, 100])
+def test_recall_of_evenly_spread_edits(n):
+    rng, tries, k = random.Random(n), 200, dc.limit(n)
+    items = [[f"w{rng.randrange(2500)}" for _ in range(n)] for _ in range(tries)]
+    replaced = {int((e + 0.5) * n / k) for e in range(k)}
+    texts = [" ".join("z" if j in replaced else w for j, w in enumerate(i)) for i in items]
+    found = pairs(map(" ".join, items), texts)
+    assert sum((i, i) in found for i in range(tries)) >= 0.93 * tries
+
+
+def test_few_windows_are_compared_however_many_items(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()]
+    rng, cut = random.Random(5), []
+    while len(cut) < 5000:
+        words, n = rng.choice(texts).split(), rng.randrange(8, 31)
+        if len(words) > n:
+            at = rng.randrange(len(words) - n)
+            cut.append(" ".join(words[at : at + n]))
+    compared, held = [], dc._held
+    monkeypatch.setattr(dc, "_held", lambda block, flat, item, low, high: compared.append(len(item)) or held(block, flat, item, low, high))
+    some = texts[:300]
+    words = sum(len(dc.words_of(t)) for t in some)
+    assert pairs(cut, some) and sum(compared) < words
