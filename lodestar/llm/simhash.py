@@ -6,9 +6,11 @@ at least three: each fingerprint is keyed once for each of the 20 choices of
 three blocks, rows are joined on those keys of 32 bits or so, and the Hamming
 distance of what meets is verified.
 
-Exact copies are one row before any join. A key that many fingerprints share
-is dealt out as pairs of tiles of bounded size, and each tile pair returns a
-spanning forest of its links, never all pairs.
+Exact copies are one row before any join. Fingerprints of a key that many share
+are keyed again by the same rule within the bits that the key leaves open, so
+that only those meet which agree on half of these too. Groups are dealt out as
+pairs of tiles of bounded size, and each tile pair returns a spanning forest of
+its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lodestar.llm.common import attach, components, materialize, release
+from lodestar.llm.common import HOT_KEYS, attach, components, materialize, release
 
 #: Fingerprints that differ in so many bits or fewer are linked.
 MAX_BITS = 3
 #: Widths of the blocks, from the lowest bit.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Fingerprints in a tile of a key that many share.
-TILE = 512
+#: Fingerprints in a tile of a key that many share, and fingerprints of a key beyond which they are keyed again.
+TILE, MANY = 512, 1 << 14
 #: Shingles hashed at once, which bounds memory on long texts.
 CHUNK = 1 << 16
 
@@ -69,14 +71,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks() -> list[int]:
-    """Masks of the block choices, as signed longs."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _masks(within: int = (1 << 64) - 1, widths: tuple[int, ...] = BLOCKS) -> list[int]:
+    """Masks of the choices of blocks: runs of so many of the bits within, in order."""
+    bits = [b for b in range(64) if within >> b & 1]
     blocks, at = [], 0
-    for width in BLOCKS:
-        blocks.append(((1 << width) - 1) << at)
+    for width in widths:
+        blocks.append(sum(1 << b for b in bits[at : at + width]))
         at += width
-    whole = [sum(chosen) for chosen in combinations(blocks, len(BLOCKS) - MAX_BITS)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
+    return [sum(chosen) for chosen in combinations(blocks, len(widths) - MAX_BITS)]
+
+
+def _open_masks(mask: int) -> list[int]:
+    """Masks within the bits that a mask leaves open, in six blocks of a like width."""
+    left = 64 - mask.bit_count()
+    return _masks(~mask & (1 << 64) - 1, tuple(left // 6 + (k < left % 6) for k in range(6)))
 
 
 def _forest(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,23 +150,39 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rest.combine_chunks())
 
 
+def groups(distinct: DataFrame) -> DataFrame:
+    """Rows (t, k, i, j, fp): each two of distinct fingerprints (fp) within MAX_BITS share a (t, k, i, j), a pair of tiles."""
+    masks = _masks()
+    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x")).select("x.t", "x.k", "fp")
+    met, many = _shared(keyed)
+    if many:
+        # Keys of half the open bits, told apart by t from the first ones.
+        inner = [F.array(*[F.struct(F.lit(len(masks) * (t + 1) + s).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m | o))).alias("k")) for s, o in enumerate(_open_masks(m))]) for t, m in enumerate(masks)]
+        again = met.where(F.col("n") > MANY).withColumn("x", F.explode(F.element_at(F.array(*inner), F.col("t") + 1))).select("x.t", "x.k", "fp")
+        met = met.where(F.col("n") <= MANY).unionByName(_shared(again)[0])
+    met = met.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    dealt = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select("t", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Rows (a, b) with the same components as the pairs of distinct fingerprints (fp) within MAX_BITS.
 
     A link joins a fingerprint to the root of its tree in one group, so the
     two may be further apart than MAX_BITS, with close ones between them.
     """
-    masks = _masks()
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("x")).select("x.t", "x.k", "fp")
-    shared = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, ["t", "k"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = dealt.select("t", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
-    sorted_ = tiled.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    sorted_ = groups(distinct).repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
     return sorted_.mapInArrow(_links, "a long, b long").distinct()
 
 
+def _shared(keyed: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows (t, k, fp) of keys that several have, with their number n; whether over MANY have one."""
+    shared = materialize(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = attach(keyed, shared, ["t", "k"], "n", rows=HOT_KEYS).select("t", "k", "fp", "n")
+    return met, not shared.where(F.col("n") > MANY).isEmpty()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, fingerprint, component_id) per document.
 
@@ -199,15 +227,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = attach(fps, named, "fp", "n").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = own.groupBy("root").agg(F.min("doc_id").alias("__kept_id"), F.min("fp").alias("__kept_fp")).drop("root")
     # Documents are shuffled by id at every size: what stays is a share of the rows, too many to broadcast.
-    chosen = materialize(chosen, "chosen").hint("shuffle_hash")
-    same_id = docs[id_col].eqNullSafe(F.col("__kept_id"))
-    rows = docs.join(chosen, same_id, "left_semi")
-    if fps.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
+    chosen = materialize(chosen, "chosen")
+    repeated = materialize(fps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated_ids")
+    hot = materialize(repeated.orderBy(F.desc("n"), "doc_id").limit(HOT_KEYS).select(F.col("doc_id").alias("__hot_id")), "hot_ids")
+    same_id, is_hot = docs[id_col].eqNullSafe(F.col("__kept_id")), docs[id_col].eqNullSafe(F.col("__hot_id"))
+    if repeated.isEmpty():
+        return docs.join(chosen.hint("merge"), same_id, "left_semi")
+    few = chosen.join(F.broadcast(hot), F.col("__kept_id").eqNullSafe(F.col("__hot_id")), "left_semi")
+    rows = docs.join(F.broadcast(few), same_id, "left_semi").union(docs.join(F.broadcast(hot), is_hot, "left_anti").join(chosen.hint("merge"), same_id, "left_semi"))
     # Repeated ids: tell their rows apart by the fingerprint, then keep one.
     marked = materialize(rows.withColumn("__row_id", F.monotonically_increasing_id()), "repeated")
     again = fingerprints(marked.select("__row_id", text_col), "__row_id", text_col).withColumnsRenamed({"doc_id": "__row_id", "fp": "__fp"})
     told = marked.select("__row_id", id_col).join(again, "__row_id")
-    told = told.join(chosen, told[id_col].eqNullSafe(F.col("__kept_id")) & (F.col("__fp") == F.col("__kept_fp")), "left_semi")
+    told = told.join(chosen.hint("merge"), told[id_col].eqNullSafe(F.col("__kept_id")) & (F.col("__fp") == F.col("__kept_fp")), "left_semi")
     one = told.groupBy(id_col, "__fp").agg(F.min("__row_id").alias("__row_id")).select("__row_id")
     return marked.join(one, "__row_id", "left_semi").select(*docs.columns)

@@ -69,7 +69,10 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
     assert got == brute(rows)[0]
 
 
-def test_tiles_of_a_hot_key(spark, monkeypatch):
+@pytest.mark.parametrize("many", [simhash.MANY, 3])
+def test_tiles_of_a_hot_key(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
     rng = random.Random(1)
     base = rng.getrandbits(64)
     fps = {base}
@@ -112,6 +115,38 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert sorted((r.doc_id for r in got), key=str) == sorted(want, key=str)
 
 
+def test_a_key_of_half_the_rows_is_split(spark, monkeypatch):
+    """Fingerprints that share half their bits: no group of a task has over twice as many rows as a tile."""
+    rng = random.Random(4)
+    fps = {rng.getrandbits(30) << 33 | 12345 for _ in range(600)} | {rng.getrandbits(63) for _ in range(600)}
+    fps |= {f ^ 5 << rng.randrange(58) for f in sorted(fps)[::9]}
+    monkeypatch.setattr(simhash, "TILE", 32)
+    monkeypatch.setattr(simhash, "MANY", 64)
+    made = simhash.groups(spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")).cache()
+    assert made.groupBy("t", "k", "i", "j").count().agg({"count": "max"}).first()[0] <= 4 * 32
+    met = {}
+    for r in made.collect():
+        met.setdefault((r.t, r.k, r.i, r.j), set()).add(r.fp)
+    close = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
+    assert close and all(any(a in g and b in g for g in met.values()) for a, b in close)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(30)] + [(150, 1010)] + [(5000, 5001), (7, 7)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(200), *range(1000, 1031)]}, 5000: 5000, 5001: 5000}
+
+
+def test_keep_one_of_an_id_that_half_the_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEYS", 1)
+    rng = random.Random(8)
+    rows = [(None if k % 4 == 0 else 7 if k % 4 == 1 else k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id for r in simhash.keep_one(docs).collect()), key=str) == sorted(brute(rows)[1], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
