@@ -1,11 +1,14 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic classifier gives each document evidence from its own text. Sites
-add theirs: the mean quality of a host is shrunk toward the global mean, and
-that of a path toward its host, the more so the fewer documents they have. How
-strongly is estimated from the variance between and within groups, by grouped
-sums. A document's log odds are those of its classifier with the base rate
-replaced by its path's posterior.
+add theirs: a document's quality is its label, if it has one, and the
+classifier's probability otherwise. The mean quality of a host is shrunk toward
+the global mean, and that of a path toward its host, the more so the fewer
+documents they have. How strongly is estimated from the variance between and
+within groups, by grouped sums. A document's log odds are those of its
+classifier with the base rate replaced by the posterior that its path has by
+all other documents: its own quality is taken out of every sum, so its text
+counts once and its own label not at all.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows
 (MAX_SAMPLE, chosen by hash). Everything else covers all rows.
@@ -137,22 +140,42 @@ def _strength(n: float, square: float, groups: float, squares_between: float, sq
     return 1e12 if between <= 1e-12 else max(within, 1e-6) / between
 
 
-def sites(scored: DataFrame) -> DataFrame:
-    """Rows (site, host, path, n, prior): the posterior quality of each path, for rows (host, path, p)."""
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
+@dataclass(frozen=True)
+class Levels:
+    """The top of the hierarchy: all documents, their summed quality, and what hosts and paths are shrunk by."""
+
+    n: float
+    s: float
+    of_host: float
+    of_path: float
+
+    def prior(self, own: Column | float = 0.0, one: int = 1) -> Column:
+        """Posterior quality of a path (columns n, s, hn, hs) without a document of this quality; of all with one = 0."""
+        rest = self.n - one
+        mean = (F.lit(self.s) - own) / rest if rest > 0 else F.lit(0.5)
+        of_host = (F.col("hs") - own + self.of_host * mean) / (F.col("hn") - one + self.of_host)
+        return (F.col("s") - own + self.of_path * of_host) / (F.col("n") - one + self.of_path)
+
+
+def sites(valued: DataFrame) -> tuple[DataFrame, Levels]:
+    """Rows (site, host, path, n, s, hn, hs) per path with counts and sums of its own and its host's, for rows (host, path, value)."""
+    paths = materialize(valued.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")), "paths")
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "hosts")
     total = paths.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.count("*"), F.sum(F.col("s") * F.col("s") / F.col("n")), F.sum(F.col("n") * F.col("n").cast("double"))).first()
     by_host = hosts.agg(F.count("*"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")), F.sum(F.col("hn") * F.col("hn").cast("double"))).first()
     n, s, q, n_paths, path_squares, path_sizes = (float(x or 0) for x in total)
     n_hosts, host_squares, host_sizes = (float(x or 0) for x in by_host)
-    mean = s / n if n else 0.5
-    of_host = _strength(n, host_sizes / n if n else 0, n_hosts, host_squares - n * mean * mean, q - n * mean * mean)
+    squares = s * s / n if n else 0.0
+    of_host = _strength(n, host_sizes / n if n else 0, n_hosts, host_squares - squares, q - squares)
     of_path = _strength(n, path_sizes / n if n else 0, n_paths - n_hosts + 1, path_squares - host_squares, q - host_squares)
-    host_mean = (F.col("hs") + of_host * mean) / (F.col("hn") + of_host)
-    joined = attach(paths, hosts.withColumn("host_mean", host_mean), "host", "hn")
-    prior = (F.col("s") + of_path * F.col("host_mean")) / (F.col("n") + of_path)
-    out = joined.select(F.to_json(F.struct("host", "path")).alias("site"), "n", prior.alias("prior"))
-    return materialize(out, "sites")
+    joined = attach(paths, hosts, "host", "hn").withColumn("site", _site())
+    out = materialize(joined.select("site", "host", "path", "n", "s", "hn", "hs"), "sites")
+    release(paths, hosts)
+    return out, Levels(n, s, of_host, of_path)
+
+
+def _site() -> Column:
+    return F.to_json(F.struct("host", "path"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -162,12 +185,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     as none, of labels that disagree the mean counts. Null hosts and paths are
     sites of their own; a text without words has features of zero. If labels
     lack one of the classes, there is no evidence and every document is kept.
-    Repeated rows each give a row; other columns are ignored.
+    A table of one document has a prior of a half. Repeated rows each give a
+    row; other columns are ignored.
     """
     table = materialize(measured(docs, id_col, text_col, host_col, path_col), "features")
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("label is not null")
-    marks = marks.groupBy("doc_id").agg(F.avg("label").alias("label"))
-    labelled = table.join(marks, "doc_id")
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("label is not null and doc_id is not null")
+    marks = materialize(marks.groupBy("doc_id").agg(F.avg("label").alias("label")), "marks")
+    labelled = table.join(bounded(marks), "doc_id")
     # A hash threshold first, so that tasks send no more than the sample and a fifth together, however many they are.
     share = min(1.0, 1.2 * MAX_SAMPLE / max(1, labelled.count()))
     place = F.xxhash64("doc_id", "row_key")
@@ -175,11 +199,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = some.orderBy(place).limit(MAX_SAMPLE).select(*FEATURES, "label").toPandas()
     model = fit(sample[list(FEATURES)].to_numpy(np.float64), (sample["label"].to_numpy(np.float64) >= 0.5).astype(np.float64))
     evidence = table.select("doc_id", "row_key", "host", "path", model.logit().alias("logit"))
-    scored = evidence.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit"))))))
-    known = sites(scored)
-    joined = attach(scored.withColumn("site", F.to_json(F.struct("host", "path"))), known, "site", "n")
-    log_odds = F.col("logit") - F.lit(model.base) + _log_odds(F.col("prior"))
-    out = joined.select("doc_id", "row_key", F.col("logit").alias("evidence"), F.col("prior").alias("site_prior"), log_odds.alias("log_odds"))
+    # Rows without an id have no label; kept apart, they are no single key of the join.
+    known = evidence.where("doc_id is not null").join(bounded(marks), "doc_id", "left")
+    rows = known.unionByName(evidence.where("doc_id is null").withColumn("label", F.lit(None).cast("double")))
+    probability = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit")))))
+    valued = materialize(rows.withColumn("value", F.coalesce("label", probability)).drop("label"), "valued")
+    release(table, marks)
+    known, levels = sites(valued)
+    joined = attach(valued.withColumn("site", _site()), known.drop("host", "path"), "site", "n")
+    prior = levels.prior(F.col("value"))
+    log_odds = F.col("logit") - F.lit(model.base) + _log_odds(prior)
+    out = joined.select("doc_id", "row_key", F.col("logit").alias("evidence"), prior.alias("site_prior"), log_odds.alias("log_odds"))
     return out.withColumn("kept", F.lit(True) if not any(model.weights) else F.col("log_odds") >= 0)
 
 
