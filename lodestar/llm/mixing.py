@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestar.llm.common import bounded, materialize, release
+from lodestar.llm.common import attach, bounded, materialize, release
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -47,11 +47,11 @@ def _ranked(sources: DataFrame) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
     before = F.broadcast(spark.createDataFrame(starts, "part int, before long"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("before") + F.col("within"), F.lit(len(WEIGHTS))) + 1).cast("int"))
-    return dealt.withColumn("within", within).join(before, "part").select("source", "source_size", weight.alias("w"))
+    return dealt.withColumn("within", within).join(before, "part").select(*sources.columns, weight.alias("w"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """Rows (source, source_size, target) for rows (source, source_size).
+    """The rows of sources (source, source_size and others) with their target.
 
     Targets share the sum of all sizes by weight; one above MAX_REPEATS times
     its source's size stops there, and the excess is reshared by weight until
@@ -69,13 +69,18 @@ def targets(sources: DataFrame) -> DataFrame:
             break
         share, stopped = (total - int(filled)) / int(weight), n
     above = F.lit(share) * F.col("w") > full
-    return ranked.select("source", "source_size", F.when(above, full.cast("double")).otherwise(F.lit(share) * F.col("w")).alias("target"))
+    return ranked.select(*sources.columns, F.when(above, full.cast("double")).otherwise(F.lit(share) * F.col("w")).alias("target"))
 
 
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def _thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (source, copies, below, extra): one more copy if hash < below, or if hash = below and extra.
 
@@ -83,11 +88,11 @@ def _thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     is taken if that ends nearer to it than stopping short.
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    now = wanted.select("source", F.floor(ratio).alias("copies"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("budget"))
+    now = wanted.select("source", "n", F.floor(ratio).alias("copies"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("budget"))
     now = materialize(now.withColumns({"prefix": F.lit(""), "spent": F.lit(0).cast("long"), "inside": F.lit(0).cast("long")}), "bounds")
     for length in PREFIXES:
-        narrow = bounded(now.select(F.col("source").alias("s"), F.col("prefix").alias("p")))
-        inside = sized.join(narrow, _same(F.col("source"), F.col("s")) & (F.substring("hash", 1, F.length("p")) == F.col("p") if length > PREFIXES[0] else F.lit(True)))
+        narrow = now.select(_key(F.col("source")).alias("key"), F.col("prefix").alias("p"), "n")
+        inside = attach(sized, narrow, "key", "n").where(F.substring("hash", 1, F.length("p")) == F.col("p"))
         histogram = inside.groupBy("source", F.substring("hash", 1, length).alias("bucket")).agg(F.sum("size").alias("words"))
         summed = histogram.join(bounded(now.withColumnRenamed("source", "s")), _same(F.col("source"), F.col("s")))
         # At most 16 ** 3 buckets of a source: the prefix of the round before is the same for all.
@@ -96,7 +101,7 @@ def _thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         first = summed.groupBy("source").agg(F.min(F.struct("bucket", "end", "words")).alias("x"))
         first = first.select(F.col("source").alias("s"), "x.*")
         after = now.join(bounded(materialize(first, "first")), _same(F.col("source"), F.col("s")), "left")
-        after = after.select("source", "copies", "budget", F.coalesce("bucket", F.lit("g")).alias("prefix"), F.coalesce(F.col("end") - F.col("words"), "spent").alias("spent"), F.coalesce("words", F.lit(0)).alias("inside"))
+        after = after.select("source", "n", "copies", "budget", F.coalesce("bucket", F.lit("g")).alias("prefix"), F.coalesce(F.col("end") - F.col("words"), "spent").alias("spent"), F.coalesce("words", F.lit(0)).alias("inside"))
         after = materialize(after, "bounds")
         release(now)
         now = after
@@ -105,13 +110,14 @@ def _thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Tables of documents (doc_id, source, size, hash) and of sources (source, source_size, target, copies, below, extra)."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("hash"))
+    """Tables of documents (doc_id, source, key, size, hash) and of sources (key, source_size, n, target, copies, below, extra)."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _key(F.col(source_col)).alias("key"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("hash"))
     sized = materialize(narrow, "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     wanted = materialize(targets(sources), "targets")
     cut = materialize(_thresholds(sized, wanted), "thresholds").withColumnRenamed("source", "s")
-    return sized, materialize(wanted.join(bounded(cut), _same(F.col("source"), F.col("s"))).drop("s"), "plan")
+    planned = wanted.join(bounded(cut), _same(F.col("source"), F.col("s"))).withColumn("key", _key(F.col("source"))).drop("s", "source")
+    return sized, materialize(planned, "plan")
 
 
 def _copies() -> Column:
@@ -129,21 +135,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty result. Other columns are ignored, whatever their names.
     """
     sized, sources = plan(docs, id_col, text_col, source_col)
-    sources = bounded(sources.withColumnRenamed("source", "s"))
-    joined = sized.join(sources, _same(F.col("source"), F.col("s")))
+    joined = attach(sized, sources, "key", "n")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents, each repeated as often as the mix takes it; columns stay as they are."""
     _, sources = plan(docs, id_col, text_col, source_col)
-    names = {c: f"__mix_{c}" for c in ("copies", "below", "extra")}
-    sources = bounded(sources.select(F.col("source").alias("__mix_s"), *[F.col(c).alias(n) for c, n in names.items()]))
+    sources = sources.select(*[F.col(c).alias(f"__mix_{c}") for c in ("key", "n", "copies", "below", "extra")])
     digest = doc_hash(F.col(id_col), F.col(text_col))
     more = (digest < F.col("__mix_below")) | ((digest == F.col("__mix_below")) & F.col("__mix_extra"))
     copies = F.least(F.col("__mix_copies") + F.when(more, 1).otherwise(0), F.lit(MAX_REPEATS)).cast("int")
-    joined = docs.join(sources, _same(F.col(source_col).cast("string"), F.col("__mix_s")))
-    repeated = joined.withColumn("__mix_n", copies).where("__mix_n > 0").withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    joined = attach(docs.withColumn("__mix_key", _key(F.col(source_col))), sources, "__mix_key", "__mix_n")
+    repeated = joined.withColumn("__mix_times", copies).where("__mix_times > 0").withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
