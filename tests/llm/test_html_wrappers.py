@@ -1,8 +1,10 @@
 """Wrappers: inferred expressions, and main text of planted and broken pages."""
 
 import html
+import pickle
 import random
 import re
+import time
 
 import pytest
 
@@ -92,17 +94,130 @@ def test_markup(markup, text):
     assert hw.main_text(markup) == text
 
 
+def folded(pages):
+    """The packed wrapper of some pages."""
+    out = None
+    for p in pages:
+        f = hw._bare(hw.form(hw.parse(p))[0])
+        out = f if out is None else hw.merge(out, f)
+    return pickle.dumps(out)
+
+
 def test_open_wrappers_fall_back_to_the_page(monkeypatch):
     monkeypatch.setattr(hw, "MAX_CHILDREN", 2)
-    import pickle
-
     rows, want = corpus(("plain",))
-    packed = None
-    for _, _, p in rows:
-        f = hw._bare(hw.form(hw.parse(p))[0])
-        packed = f if packed is None else hw.merge(packed, f)
-    assert "ANY" in hw.expression(packed)
-    assert all(hw.main_text(p, pickle.dumps(packed)) == want[k] for k, _, p in rows)
+    packed = folded(p for _, _, p in rows)
+    assert "ANY" in hw.expression(pickle.loads(packed))
+    assert all(hw.main_text(p, packed) == want[k] for k, _, p in rows)
+
+
+def untold(k, rng):
+    """A page without an article element or telling names, and its main text."""
+    words = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    paragraphs = [words(12) for _ in range(rng.randrange(1, 6))]
+    extra = "<section class=c9>Free delivery on all orders this week.</section>" if k % 2 else ""
+    page = (
+        f"<div class=c1>Example Gazette, since 1901</div><div class=c2><h1>Title {k}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}"
+        f"<p>Write to our desk if you know more.</p></div>{extra}<div class=c3>Printed in Exampletown by Example &amp; Sons.</div>"
+    )
+    return page, "\n".join([f"Title {k}", *paragraphs])
+
+
+def test_wrappers_decide_where_pages_alone_fail():
+    rng = random.Random(9)
+    pages = [untold(k, rng) for k in range(30)]
+    packed = folded(p for p, _ in pages)
+    assert all(hw.main_text(p, packed) == want for p, want in pages)
+    assert all(hw.main_text(p) != want and "Gazette" in hw.main_text(p) for p, want in pages)
+    # The same within article elements.
+    inside = [(f"<article>{p}</article>", want) for p, want in pages]
+    packed = folded(p for p, _ in inside)
+    assert all(hw.main_text(p, packed) == want for p, want in inside)
+    assert all(hw.main_text(p) != want for p, want in inside)
+
+
+@pytest.mark.parametrize("kinds", [5, 20, 70, 400])
+def test_a_text_of_all_pages_goes_however_many_kinds_its_parent_has(kinds):
+    rng = random.Random(kinds)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(kinds)]
+    pages = []
+    for k in range(12):
+        own = [f"<div class=x{n}>t{k}{n} {rng.random()}</div>" for n in rng.sample(names, max(3, kinds // 2))]
+        pages.append("<body>" + "".join(own) + "<div class=xend>The same on each page.</div></body>")
+    packed = folded(pages)
+    for p in pages:
+        got = hw.main_text(p, packed).split("\n")
+        assert "The same on each page." not in got and len(got) == max(3, kinds // 2)
+
+
+def test_pages_with_the_same_article_keep_it():
+    pages = [f"<title>{k}</title><article><h1>Title {k}</h1><p>One text on all pages.</p></article>" for k in range(9)]
+    packed = folded(pages)
+    assert [hw.main_text(p, packed) for p in pages] == [f"Title {k}\nOne text on all pages." for k in range(9)]
+    pages = ["<article><h1>A title</h1><p>One text.</p></article>"] * 9
+    assert hw.main_text(pages[0], folded(pages)) == "A title\nOne text."
+
+
+def test_names_are_hints():
+    body = "<p>Real body of the story.</p><p>And more of it.</p>"
+    for page in (f'<div id="content"><div class="story-social-issues">{body}</div></div>', f'<h1>Title</h1><div class="widget-area">{body}</div>', f'<div class="sidebar-left">{body}</div>'):
+        assert hw.main_text(page).endswith("Real body of the story.\nAnd more of it.")
+    comments = "<div class='comment-list'>" + "<p>A reader says a lot of things here.</p>" * 9 + "</div>"
+    assert hw.main_text(f"<div class=text>{body}</div>{comments}") == "Real body of the story.\nAnd more of it."
+    menu = "<main><h1>Title</h1><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul><p>Text.</p></main>"
+    assert hw.main_text(menu) == "Title\nText."
+    items = "<article><p>Text.</p><ul><li>One <a href=/>thing</a> of two</li><li>Another</li></ul></article>"
+    assert hw.main_text(items) == "Text.\nOne thing of two\nAnother"
+    pages = [f"<main><h1>Title {k}</h1><p>Text {k}.</p><div class=k>We use cookies.</div></main>" for k in range(5)]
+    assert hw.main_text(pages[3], folded(pages)) == "Title 3\nText 3."
+
+
+def test_what_stands_deep_is_still_what_its_parents_are():
+    deep = "<div>" * 400
+    page = f"<article>{deep}<p>text</p><nav><ul><li>menu</li></ul></nav><form><p>field</p></form><p>more</p></article>"
+    assert hw.main_text(page) == "text\nmore"
+    assert hw.main_text(f"{deep}<article><p>text</p></article><p>tail</p>") == "text"
+
+
+@pytest.mark.parametrize("markup", ["<p>x<div>", "<ul><div><li>x</li>", "<div>x</p>", "<p>a<h2>b<hr>", "<table><tr><td>x", "<a><b>y</a>"])
+def test_hostile_pages_take_time_in_proportion(markup):
+    def seconds(n):
+        began = time.process_time()
+        hw.main_text(markup * n)
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(32_000) < 4 * 4 * max(0.2, seconds(8000))
+
+
+def test_alignment_against_brute_force(monkeypatch):
+    rng = random.Random(3)
+
+    def common(x, y):
+        best = {(): 0}
+        for c in x:
+            for s in list(best):
+                at = next((k for k in range(best[s], len(y)) if y[k] == c), None)
+                if at is not None:
+                    best[(*s, c)] = min(at + 1, best.get((*s, c), at + 1))
+        return max(map(len, best))
+
+    for k in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        got = hw._pairs([[c] for c in x], [[c] for c in y])
+        both = [(i, j) for i, j in got if i is not None and j is not None]
+        assert [i for i, _ in got if i is not None] == list(range(len(x))) and [j for _, j in got if j is not None] == list(range(len(y)))
+        assert all(x[i] == y[j] for i, j in both) and len(both) == common(x, y)
+    # Without the table: every position once and in order, and anchors that all pages have are found.
+    monkeypatch.setattr(hw, "CELLS", 0)
+    for k in range(300):
+        x, y = ([rng.choice("abcdefghijkl") for _ in range(rng.randrange(20))] for _ in range(2))
+        x.insert(rng.randrange(len(x) + 1), "Z")
+        y.insert(rng.randrange(len(y) + 1), "Z")
+        got = hw._pairs([[c] for c in x], [[c] for c in y])
+        assert [i for i, _ in got if i is not None] == list(range(len(x))) and [j for _, j in got if j is not None] == list(range(len(y)))
+        assert all(x[i] == y[j] for i, j in got if i is not None and j is not None)
+    assert hw._pairs([[c] for c in "aZbY"], [[c] for c in "ZcYd"]) == [(0, None), (1, 0), (2, None), (None, 1), (3, 2), (None, 3)]
 
 
 def test_tables_of_the_driver(spark):
