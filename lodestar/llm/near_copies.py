@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lodestar.llm.common import bounded, components, materialize, release
+from lodestar.llm.common import HOT_KEYS, attach, bounded, components, materialize, release
 
 #: Words of a shingle.
 WORDS = 5
@@ -121,8 +121,8 @@ def links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     texts has (text_id, text), keyed a row (text_id, keys) per text id.
     """
     every = keyed.select("text_id", F.posexplode("keys").alias("t", "k"))
-    shared = every.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(every.join(shared, ["t", "k"]), "met")
+    shared = materialize(every.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = materialize(attach(every, shared, ["t", "k"], "n", rows=HOT_KEYS), "met")
     wanted = bounded(materialize(met.select("text_id").distinct(), "wanted"))
     some = texts.join(wanted, "text_id", "left_semi").mapInArrow(_with_shingles, "text_id long, found binary")
     sets = materialize(some.groupBy("text_id").agg(F.first("found").alias("found")), "sets")
