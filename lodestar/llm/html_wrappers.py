@@ -188,9 +188,15 @@ def parse(html: str) -> Node:
         saved.append(kept)
 
     def find(tags: tuple[str, ...], stops: tuple[str, ...]) -> int:
-        last = lambda some: max((places[t][-1] for t in some if places.get(t)), default=0)
-        found = last(tags)
-        return found if found > last(stops) else 0
+        found = 0
+        for t in tags:
+            if places.get(t) and places[t][-1] > found:
+                found = places[t][-1]
+        if found:
+            for t in stops:
+                if places.get(t) and places[t][-1] > found:
+                    return 0
+        return found
 
     while at < size:
         m = _TOKEN.search(html, at)
@@ -269,13 +275,14 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
 
 
-def _leaf(text: tuple[str, int], number: int) -> list:
-    return ["", 0, 1, {digest(text[0])}, len(text[0]), text[1], 1, [number]]
+def _leaf(text: tuple[str, int], number: int, mark: int) -> list:
+    return ["", 0, 1, {mark}, len(text[0]), text[1], 1, [number]]
 
 
 def form(root: Node) -> tuple[list, list[str]]:
     """A page as a wrapper of its own, and its texts by number."""
     texts: list[str] = []
+    marks: list[int] = []
 
     def shape(node: Node) -> list:
         children = []
@@ -283,12 +290,13 @@ def form(root: Node) -> tuple[list, list[str]]:
             if isinstance(child, Node):
                 children.append(shape(child))
             else:
-                children.append(_leaf(child, len(texts)))
+                marks.append(digest(child[0]))
+                children.append(_leaf(child, len(texts), marks[-1]))
                 texts.append(child[0])
         return _closed([node.sign, 0, 1, _repeats(children), None, []])
 
     whole = shape(root)
-    whole[4] = set(map(digest, texts))
+    whole[4] = set(marks)
     return whole, texts
 
 
@@ -500,10 +508,6 @@ class Verdict:
     pages: int
     same: set[int]
 
-    def template(self, text: str, main: bool) -> bool:
-        """Whether a text is on every page that has the slot, and these are enough pages."""
-        return self.pages >= (PAGES_INSIDE if main else PAGES_OUTSIDE) and digest(text) in self.same
-
 
 @dataclass(frozen=True)
 class _Place:
@@ -600,6 +604,7 @@ def main_text(html: str | None, packed: bytes | None = None) -> str:
     _aligned(wrapper, page, known)
     alone = [] if len(known) == len(texts) and not any(slot[0] for slot in known.values()) else _plain_verdicts(root)
     main = _has_main_text(root)
+    least = PAGES_INSIDE if main else PAGES_OUTSIDE
     picked = []
     for number, text in enumerate(texts):
         slot = known.get(number)
@@ -611,8 +616,9 @@ def main_text(html: str | None, packed: bytes | None = None) -> str:
             # In an element that is left open the page's own elements speak, with the texts that every page has there.
             verdict = replace(alone[number], pages=slot[2] if pages and 2 * slot[2] >= pages else 0, same=slot[4])
         if verdict.inside if main else verdict.outside:
-            everywhere = pages >= (PAGES_INSIDE if main else PAGES_OUTSIDE) and digest(text) in wrapper[4]
-            picked.append((text, verdict.heading, verdict.suspect, everywhere or verdict.template(text, main)))
+            sets = [same for of, same in ((pages, wrapper[4]), (verdict.pages, verdict.same)) if same and of >= least]
+            mark = digest(text) if sets else 0
+            picked.append((text, verdict.heading, verdict.suspect, any(mark in same for same in sets)))
     # Without suspects and the template's texts; if that leaves nothing but headings, hints give way to what there is.
     for suspects, template in ((0, 0), (0, 1), (1, 0), (1, 1)) if main else ((0, 0), (1, 0)):
         kept = [p for p in picked if p[2] <= suspects and p[3] <= template]
