@@ -257,9 +257,10 @@ def sweep(index: DataFrame, out: str) -> int:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive the pages in a new folder and return what the archives say of each."""
+    """Archive the pages in a new folder and return what the archives say of each; bundles of failed attempts go."""
     out = scratch(pages.sparkSession, "warc")
     index = write_archives(pages, out)
+    sweep(index, out)
     return read_archives(index).drop("payload").withColumnRenamed("record_id", "page_id")
 
 
