@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 UNKNOWN_PENALTY = 10.0
 #: Counted parts that a worker remembers at most; beyond, it forgets them all.
 REMEMBERED = 500_000
+#: Characters of a part beyond which its count isn't remembered.
+LONGEST = 100
 SPACE = "▁"
 
 
@@ -48,6 +50,7 @@ class Counter:
             if not (processor.is_unknown(i) or processor.is_control(i) or processor.is_byte(i) or processor.is_unused(i)):
                 pieces.append(piece)
                 self.automaton.add_word(piece, (len(piece), score))
+        self.longest = max(map(len, pieces), default=1)
         self.automaton.make_automaton()
         self.unknown, self.by_bytes = least - UNKNOWN_PENALTY, byte_pieces == 256
         crossing = re.compile(f"[^{SPACE}]{SPACE}")
@@ -55,24 +58,30 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def viterbi(self, text: str) -> int:
-        """Tokens on the best path of a normalized text."""
-        n = len(text)
-        score, count, whole = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, match in self.automaton.iter(text):
-            ends[last + 1].append(match)
-        for end in range(1, n + 1):
-            best, tokens, unknown, single = None, 0, False, False
-            for length, worth in sorted(ends[end], reverse=True):
+        """Tokens on the best path of a normalized text; as many ends are held as the longest piece has characters, and one."""
+        held = self.longest + 1
+        score, count, whole = [0.0] * held, [0] * held, [False] * held
+        matches = iter(self.automaton.iter(text))
+        match = next(matches, None)
+        for end in range(1, len(text) + 1):
+            best, tokens, unknown, single, here = None, 0, False, False, []
+            while match is not None and match[0] < end:
+                here.append(match[1])
+                match = next(matches, None)
+            here.sort(reverse=True)
+            for length, worth in here:
                 single |= length == 1
-                found = score[end - length] + worth
+                start = (end - length) % held
+                found = score[start] + worth
                 if best is None or found > best:
-                    best, tokens = found, count[end - length] + 1
-            if not single and (best is None or score[end - 1] + self.unknown > best):
-                best, unknown = score[end - 1] + self.unknown, True
-                tokens = count[end - 1] + (len(text[end - 1].encode()) if self.by_bytes else not whole[end - 1])
-            score[end], count[end], whole[end] = best, tokens, unknown
-        return count[n]
+                    best, tokens = found, count[start] + 1
+            last = (end - 1) % held
+            if not single and (best is None or score[last] + self.unknown > best):
+                best, unknown = score[last] + self.unknown, True
+                tokens = count[last] + (len(text[end - 1].encode()) if self.by_bytes else not whole[last])
+            here = end % held
+            score[here], count[here], whole[here] = best, tokens, unknown
+        return count[len(text) % held]
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; 0 for null."""
@@ -83,6 +92,9 @@ class Counter:
             return self.viterbi(text)
         known, total = self.known, 0
         for part in self.parts(text):
+            if len(part) > LONGEST:
+                total += self.viterbi(part)
+                continue
             tokens = known.get(part)
             if tokens is None:
                 if len(known) >= REMEMBERED:

@@ -63,3 +63,11 @@ def test_rows(spark):
     got = tc.token_counts(docs, PIECES).collect()
     assert [r.doc_id for r in got] == [1, 1, 2, None] and got[0].n_tokens == got[1].n_tokens > 0 == got[2].n_tokens == got[3].n_tokens
     assert tc.token_counts(docs.limit(0), PIECES).collect() == []
+
+
+def test_a_long_text_without_white_space(both):
+    counter, library = both
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdeinorst1é梦") for _ in range(30_000))
+    assert counter.count(text) == len(library.encode(counter.normalize(text), add_special_tokens=False).ids)
+    assert not any(len(part) > tc.LONGEST for part in counter.known)
