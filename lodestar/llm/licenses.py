@@ -134,23 +134,30 @@ def aligned(template: list[str], text: list[str]) -> int:
 
 
 def matches(words: list[str], template: list[str]) -> Iterator[tuple[float, int, int]]:
-    """(coverage, start, end) of the places of a template in a text, from left to right, not overlapping."""
+    """(coverage, start, end) of the places of a template in a text, from left to right, not overlapping.
+
+    No alignment has more words than the longest common subsequence, and that
+    grows by the words that enter a window at most: windows are passed over
+    until so many have entered that it could reach what is needed.
+    """
     n = len(template)
     need, span = -int(-COVERAGE * n // 1), max(n, int(SPAN * n))
     wanted = Counter(template)
     hits = [k for k, w in enumerate(words) if w in wanted]
     inside: Counter = Counter()
-    shared, right, left, free = 0, 0, 0, 0
+    shared, right, left, free, most = 0, 0, 0, 0, need
     while left < len(hits):
         start = hits[left]
         while right < len(hits) and hits[right] < start + span:
             w = words[hits[right]]
             inside[w] += 1
             shared += inside[w] <= wanted[w]
+            most += 1
             right += 1
-        if start >= free and shared >= need:
+        if start >= free and shared >= need and most >= need:
             end = hits[right - 1] + 1
-            found = aligned(template, words[start:end])
+            most = common_subsequence(template, words[start:end])
+            found = aligned(template, words[start:end]) if most >= need else 0
             if found >= need:
                 while hits[right - 1] >= start and aligned(template, words[start : end - 1]) == found:
                     end -= 1

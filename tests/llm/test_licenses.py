@@ -73,3 +73,15 @@ def test_like_notices_are_told_apart(spark):
     got = sorted((r.doc_id, r.license, r.coverage) for r in li.scan(docs).collect())
     assert got == [(k, name, 1.0) for k, name in enumerate(lines)]
     assert ("Apache-2.0-line" in {r.license for r in li.scan(spark.createDataFrame([(1, li.TEMPLATES["Apache-2.0"])], "doc_id long, text string")).collect()})
+
+
+def test_a_long_text_of_shuffled_template_words_takes_few_alignments(monkeypatch):
+    rng = random.Random(3)
+    template = li.words_of(li.TEMPLATES["GPL-3.0"])
+    words = [rng.choice(template) for _ in range(4000)]
+    words[2000:2000] = template
+    calls, plain = [], li.common_subsequence
+    monkeypatch.setattr(li, "common_subsequence", lambda a, b: calls.append(len(a) == len(template)) or plain(a, b))
+    found = list(li.matches(words, template))
+    assert len(found) == 1 and found[0][0] >= li.COVERAGE and found[0][1] < 2000 + len(template) and found[0][2] > 2000
+    assert sum(calls) < 400
