@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import uses_netloc
+
 from pyspark.sql import Column, functions as F
 
 #: Query parameters that don't change a page, hosts that announce but are no source, hosts with a reader of their own.
@@ -27,13 +29,19 @@ def path_of(url: Column) -> Column:
 
 
 def normalize_web_url(url: Column) -> Column:
-    """The identity of a page: lower-case scheme and host, no fragment, no tracking, no slashes at the end."""
-    text = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "#.*$", "")
-    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    query = F.regexp_extract(text, r"^[^?]*\?(.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~F.lower(kv).rlike("^(" + "|".join(TRACKING) + ")"))
-    joined = F.array_join(kept, "&")
-    return F.concat(scheme, F.lit("://"), F.coalesce(host_of(text), F.lit("")), path_of(text), F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")))
+    """The identity of a page: lower-case scheme and host, no fragment, no tracking, no slashes at the end.
+
+    What has no scheme or no host stays without; a scheme of hosts is followed
+    by slashes where a path from the root, or nothing, comes next.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^[\s\x00-\x20]+|\s+$", ""), r"[\t\r\n]", "")
+    part = lambda k: F.regexp_extract(text, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", k)
+    scheme, host, path = F.lower(part(1)), F.lower(part(2)), F.regexp_replace(part(3), "/+$", "")
+    kept = F.filter(F.split(part(4), "&"), lambda kv: (kv != "") & ~F.lower(kv).rlike("^(" + "|".join(TRACKING) + ")"))
+    bare = (path == "") | path.startswith("/")
+    slashes = F.when(host != "", F.concat(F.lit("//"), host)).when(path.startswith("//") | (scheme.isin(*filter(None, uses_netloc)) & bare), "//").otherwise("")
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), slashes, path, query)
 
 
 def web_url_hash(url: Column) -> Column:

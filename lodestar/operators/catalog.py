@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.dates import civil_day
+from lodestar.session import few
+
+#: Sections of an outline at most.
+MOST_SECTIONS = 1000
 
 
 def related_names(edges: DataFrame, entities: DataFrame, kind: str) -> DataFrame:
@@ -111,7 +115,7 @@ def checklist(proposals: DataFrame, outline: DataFrame, shallow: int = 200) -> D
     """Sections of an outline (section) in Markdown proposals (proposal, text): empty, shallow or adequate, and a score of 0 to 100."""
     parts = proposals.select("proposal", F.explode(F.split("text", r"(?m)^(?=#{1,6}[ \t])")).alias("p"))
     parsed = parts.select("proposal", F.lower(F.trim(F.regexp_extract("p", r"^#{1,6}[ \t]+([^\n]*)", 1))).alias("section"), F.length(F.trim(F.regexp_replace(F.regexp_extract("p", r"(?s)^[^\n]*\n(.*)$", 1), r"\[[^\]]*\]|_{3,}|\s+", " "))).alias("n"))
-    grid = proposals.select("proposal").join(F.broadcast(outline.select(F.lower("section").alias("section"))))
+    grid = proposals.select("proposal").join(few(outline.select(F.lower("section").alias("section")), MOST_SECTIONS))
     j = grid.join(parsed.groupBy("proposal", "section").agg(F.max("n").alias("n")), ["proposal", "section"], "left")
     state = F.when(F.coalesce("n", F.lit(0)) == 0, "empty").when(F.col("n") < shallow, "shallow").otherwise("adequate")
     worth = F.when(F.col("state") == "adequate", 1.0).when(F.col("state") == "shallow", 0.5).otherwise(0.0)

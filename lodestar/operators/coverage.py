@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.ids import valid_hostname
 from lodestar.functions.text import norm_ws
+from lodestar.session import small
 
-#: Days and approvals of an emerging domain, minutes after which a job is stuck.
-EMERGING_DAYS, EMERGING_LEAST, STUCK_MINUTES, UNASSIGNED = 90, 2, 90, "__unassigned__"
+#: Days and approvals of an emerging domain, minutes after which a job is stuck, hours between runs of a channel that names none.
+EMERGING_DAYS, EMERGING_LEAST, STUCK_MINUTES, INTERVAL_HOURS, UNASSIGNED = 90, 2, 90, 24, "__unassigned__"
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def funnel(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     rows: (key, status, created_at, reviewed_at). Reviews before creation don't
     count for the hours.
     """
-    named = rows.join(F.broadcast(keys.select(F.col(key).alias("_k"))), F.col(key) == F.col("_k"), "left").withColumn("_k", F.coalesce("_k", F.lit(UNASSIGNED)))
+    named = rows.join(small(keys.select(F.col(key).alias("_k"))), F.col(key) == F.col("_k"), "left").withColumn("_k", F.coalesce("_k", F.lit(UNASSIGNED)))
     hours = (F.unix_micros(F.col("reviewed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(3_600_000_000.0)
     g = named.groupBy("_k").agg(F.count_if(F.col("status") == "promoted").alias("approved"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if(F.col("status") == "pending").alias("pending"), F.avg(F.when(hours >= 0, hours)).alias("review_hours"))
     all_keys = keys.select(F.col(key).alias("_k")).unionByName(named.where(F.col("_k") == UNASSIGNED).select("_k").distinct())
@@ -57,11 +58,11 @@ def channel_health(channels: DataFrame, runs: DataFrame, reference: Column) -> D
     seen = observable(F.col("records_observed"), F.col("records_staged"))
     good = runs.groupBy("source_key").agg(F.max(F.when((F.col("status") == "succeeded") & seen, F.col("completed_at"))).alias("last_good"))
     j = channels.join(_last_run(runs), "source_key", "left").join(good, "source_key", "left")
-    since = _hours(reference, F.col("last_completed"))
+    since, interval = _hours(reference, F.col("last_completed")), F.coalesce("interval_hours", F.lit(INTERVAL_HOURS))
     health = (
         F.when(~F.col("enabled"), "disabled").when(F.col("last_status").isNull(), "unknown").when(F.col("last_status") == "failed", "failing").when(F.col("last_status") == "partial", "degraded")
-        .when(_hours(reference, F.col("last_good")) >= 2 * F.col("interval_hours"), "stale")
-        .when((F.col("last_status") == "succeeded") & F.col("last_seen") & (since >= 0) & (since <= F.col("interval_hours")), "healthy").otherwise("unknown"))
+        .when(_hours(reference, F.col("last_good")) >= 2 * interval, "stale")
+        .when((F.col("last_status") == "succeeded") & F.col("last_seen") & (since >= 0) & (since <= interval), "healthy").otherwise("unknown"))
     return j.select("source_key", health.alias("health"))
 
 
@@ -75,7 +76,7 @@ def gaps(channels: DataFrame, runs: DataFrame, discovered: DataFrame, families:
     return (
         signal(j.where("enabled AND last_status IS NULL"), "enabled_no_run")
         .unionByName(signal(ran.where("last_status IN ('succeeded', 'partial') AND NOT last_seen"), "ambiguous_run"))
-        .unionByName(signal(ran.where("enabled").where(_hours(reference, F.col("last_completed")) > F.col("interval_hours")), "delayed"))
+        .unionByName(signal(ran.where("enabled").where(_hours(reference, F.col("last_completed")) > F.coalesce("interval_hours", F.lit(INTERVAL_HOURS))), "delayed"))
         .unionByName(signal(families.join(reviewed, "query_family", "left_anti"), "family_no_denominator", "query_family"))
         .unionByName(signal(pending, "pending_queue"))
     )
@@ -119,7 +120,7 @@ def bundle_diagnostics(bundles: DataFrame) -> DataFrame:
 def unknown_themes(rows: DataFrame, vocabulary: DataFrame, examples: int = 10) -> DataFrame:
     """Themes (source, example, themes joined by ;) outside a vocabulary (theme): count, sources and some examples in order."""
     one = rows.select("source", "example", F.explode(F.split("themes", ";")).alias("t")).withColumn("theme", F.lower(norm_ws(F.col("t")))).where("theme <> ''")
-    other = one.join(F.broadcast(vocabulary.select("theme")), "theme", "left_anti")
+    other = one.join(small(vocabulary.select("theme")), "theme", "left_anti")
     return other.groupBy("theme").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.slice(F.array_sort(F.collect_set("example")), 1, examples).alias("examples"))
 
 

@@ -9,9 +9,27 @@ from lodestar.functions.text import fold, norm_ws, singular
 #: States, mechanisms, and the fallback of sectors with the most of an entity.
 STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
 FALLBACK_SECTOR, MOST_SECTORS = "Multissetorial", 3
-METRIC_TAG = r"(?i)^(trl|crl|mrl)\s*\d"
-LEGAL_TAG = r"(?iu)^(lei|decreto|portaria|resolu[cç][aã]o|art\.?|artigo)\s*(n[ºo.]*\s*)?\d"
-GENERIC_TAGS = ("tecnologia", "inovacao", "inovação", "pesquisa", "desenvolvimento", "projeto", "empresa")
+#: Tags that measure maturity or cite a law, wherever they do, and tags that are no more than a word of every call.
+METRIC_TAG = r"(?iuU)\b(trl|mrl|crl|irl)\b|technology readiness|n[íi]vel de maturidade tecnol[óo]g"
+LEGAL_TAG = (
+    r"(?iuU)\b(lgpd|lei geral de prote[çc][ãa]o de dados|marco civil)\b"
+    r"|\b(lei(\s+complementar)?|decreto(-lei)?|portaria|medida provis[óo]ria|emenda constitucional)\b[\sºª°no.\-]*\d"
+)
+GENERIC_TAGS = (
+    "programa programas tecnologia tecnologias consultoria inovacao projeto projetos pesquisa desenvolvimento p&d pd&i p&d&i pdi empresa empresas startup startups "
+    "servico servicos produto produtos solucao solucoes sistema sistemas plataforma metodologia processo prototipagem prototipo prototipos benchmark ensaio teste testes "
+    "calibracao validacao homologacao escala porte sustentabilidade viabilidade gestao governanca fomento incentivo subvencao financiamento credito investimento capital "
+    "recurso recursos infraestrutura laboratorio laboratorios equipamento equipamentos ferramenta ferramentas dispositivo dispositivos instrumento instrumentos sensor sensores "
+    "modulo unidade concepcao modelagem simulacao otimizacao caracterizacao parametrizacao padronizacao monitoramento mensuracao rastreamento rastreabilidade inspecao "
+    "normatizacao certificacao afericao medicao quantificacao qualificacao mercado negocio negocios cliente clientes demanda demandas desafio desafios tendencia suporte "
+    "assessoria apoio assistencia capacitacao treinamento formacao divulgacao comunicacao difusao transferencia absorcao adocao implantacao implementacao execucao realizacao "
+    "coordenacao fase fases etapa etapas prazo cronograma vigencia qualidade eficiencia eficacia efetividade desempenho produtividade competitividade fundamento principio "
+    "principios diretriz diretrizes norma normas regra regras criterio criterios premissa premissas"
+).split()
+
+
+#: Quotes up to which they are sent to all tasks.
+QUOTES = 50_000
 
 
 def lookup(values: dict[str, str]) -> Column:
@@ -28,7 +46,7 @@ def normalize_tag(raw: Column, synonyms: dict[str, str]) -> Column:
 
 def is_no_class(tag: Column) -> Column:
     """Whether a tag is a metric, a law or a bare generic word."""
-    return tag.rlike(METRIC_TAG) | tag.rlike(LEGAL_TAG) | tag.isin(*GENERIC_TAGS)
+    return tag.rlike(METRIC_TAG) | tag.rlike(LEGAL_TAG) | fold(tag).isin(*GENERIC_TAGS)
 
 
 def normalize_tags(raw: Column, synonyms: dict[str, str]) -> Column:
@@ -143,9 +161,16 @@ def resolve_quotes(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     asked = quotes.withColumn("_q", norm_ws(F.col("quote"))).where("_q <> ''").withColumn("_key", key)
     spaced = blocks.withColumn("_t", norm_ws(F.col("text"))).drop("text")
     held = F.contains("_t", F.col("_q"))
-    keyed = spaced.withColumn("_key", F.explode(F.array_distinct(F.split("_t", " "))))
-    long_ = asked.where("_key IS NOT NULL").join(keyed, ["subject", "_key"]).where(held)
-    short = asked.where("_key IS NULL").drop("_key").join(spaced, "subject").where(held)
+    keyed, bare = asked.where("_key IS NOT NULL"), asked.where("_key IS NULL").drop("_key")
+    if asked.limit(QUOTES + 1).count() <= QUOTES:
+        # Few quotes: each block keeps only those of its words that are keys of its subject, so no text is copied or shuffled in vain.
+        of_subject = F.broadcast(keyed.groupBy("subject").agg(F.collect_set("_key").alias("_keys")))
+        hit = spaced.join(of_subject, "subject").withColumn("_key", F.explode(F.array_intersect(F.split("_t", " "), "_keys"))).drop("_keys")
+        keyed, bare = F.broadcast(keyed), F.broadcast(bare)
+    else:
+        hit = spaced.withColumn("_key", F.explode(F.array_distinct(F.split("_t", " "))))
+    long_ = keyed.join(hit, ["subject", "_key"]).where(held)
+    short = bare.join(spaced, "subject").where(held)
     columns = ["quote_id", "doc", "page", "idx"]
     found = long_.select(*columns).unionByName(short.select(*columns))
     g = found.groupBy("quote_id").agg(F.countDistinct("doc").alias("docs"), F.countDistinct(F.coalesce("page", F.lit(-1))).alias("pages"), F.count("*").alias("n"), F.min("doc").alias("d"), F.max("page").alias("p"), F.count("page").alias("paged"))
@@ -163,10 +188,13 @@ def resolve_claims(claims: DataFrame) -> DataFrame:
     over the programme's, or by an official source over a curated one.
     """
     key = ["subject", "field"]
-    a, b = claims.alias("a"), claims.alias("b")
-    rival = (F.col("a.subject") == F.col("b.subject")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.value") != F.col("b.value"))
-    precedes = (F.col("a.amends").eqNullSafe(F.col("b.document")) & F.col("a.amends").isNotNull()) | ((F.col("a.page_role") == "opportunity") & (F.col("b.page_role") == "program")) | (F.col("a.official") & ~F.col("b.official"))
-    each = a.join(b, rival).groupBy(F.col("a.subject").alias("subject"), F.col("a.field").alias("field"), F.col("a.value").alias("winner"), F.col("b.value").alias("loser"), F.col("b.document").alias("document")).agg(F.max(F.coalesce(precedes, F.lit(False))).alias("beaten"))
+    # Values, of which a field has few, meet the claims of the others; amendments are found by the document that they amend.
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rivals = claims.groupBy(*key, F.col("value").alias("winner")).agg(F.max(flag(F.col("page_role") == "opportunity")).alias("_call"), F.max(flag(F.col("official"))).alias("_official"))
+    amended = claims.where("amends IS NOT NULL").select(*key, F.col("value").alias("winner"), F.col("amends").alias("document"), F.lit(True).alias("_amends")).distinct()
+    met = claims.withColumnRenamed("value", "loser").join(rivals, key).where("loser <> winner").join(amended, [*key, "winner", "document"], "left")
+    beaten = flag(F.col("_amends")) | (F.col("_call") & flag(F.col("page_role") == "program")) | (F.col("_official") & flag(~F.col("official")))
+    each = met.groupBy(*key, "winner", "loser", "document").agg(F.max(beaten).alias("beaten"))
     over = each.groupBy(*key, "winner", "loser").agg(F.min("beaten").alias("dominates"))
     values = claims.groupBy(*key).agg(F.countDistinct("value").alias("n_values"), F.min("value").alias("only"))
     best = over.where("dominates").groupBy(*key, "winner").agg(F.count("*").alias("beats")).join(values, key).where("beats = n_values - 1")

@@ -59,10 +59,10 @@ def structural_factors(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA)
     return near.groupBy(F.col("dst").alias("entity")).agg(F.max(1 + alpha * F.col("weight")).alias("factor"))
 
 
-def reorder_by_verdict(matches: DataFrame) -> DataFrame:
-    """Matches (place, verdict) with high ones first and low ones last, else in their order."""
+def reorder_by_verdict(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches (keys, place, verdict), those of each key with high ones first and low ones last, else in their order."""
     rank = F.when(F.col("verdict") == "alta", 0).when(F.col("verdict") == "baixa", 2).otherwise(1)
-    return matches.withColumn("new_place", F.row_number().over(Window.orderBy(rank, "place")))
+    return matches.withColumn("new_place", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, "place")))
 
 
 def verdict_hash(*inputs: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.text import fold, search_tokens, word_tokens
 from lodestar.functions.vectors import cosine
+from lodestar.session import cut_lineage, few
 
 #: Candidates of an arm, the constant of fusion, boost of a fitting flag, hits of one source, BM25's two parameters.
 CANDIDATES, FUSION, BOOST, PER_SOURCE, K1, B = 20, 60, 1.2, 2, 1.5, 0.75
@@ -21,21 +22,27 @@ def bm25(docs: DataFrame, query: DataFrame, tokens=search_tokens) -> DataFrame:
 
     Scores are rounded to nine places, so that sums in another order tie alike.
     Query words count as often as they occur. Words that over half of the
-    documents have get a quarter of the mean weight of all words. Statistics
-    come from aggregates that are combined before any shuffle; only words of
-    the query are exploded for scores.
+    documents have get a quarter of the mean weight of all words. Documents
+    are read twice: once for the statistics, an aggregate by word that is
+    combined before the shuffle and written as a table of the vocabulary, and
+    once for scores, where only words of the query leave a document.
     """
-    own = docs.select("id", tokens(F.col("text")).alias("words"))
-    sized = own.select("id", "words", F.size("words").alias("length"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    spread = sized.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = spread.join(F.broadcast(totals)).select("word", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
-    floor = idf.agg((F.avg("idf") * 0.25).alias("floor"))
-    asked = query.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
-    weights = asked.join(idf, "word").join(F.broadcast(floor)).select("word", "times", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    found = sized.select("id", "length", F.explode("words").alias("word")).join(F.broadcast(weights), "word").groupBy("id", "length", "word", "times", "idf").agg(F.count("*").alias("tf"))
+    # The row of a document itself has no word; its length stands in for one.
+    own = F.array_distinct("words")
+    entry = lambda word, length: F.struct(word.alias("word"), length.alias("length"))
+    entries = F.concat(F.array(entry(F.lit(None).cast("string"), F.size("words"))), F.transform(own, lambda w: entry(w, F.lit(0))))
+    spread = docs.select(tokens(F.col("text")).alias("words")).select(F.explode(entries).alias("e")).groupBy("e.word").agg(F.count("*").alias("df"), F.sum("e.length").alias("length"))
+    vocabulary = cut_lineage(spread)
+    totals = F.broadcast(vocabulary.where("word IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("mean_length")))
+    idf = vocabulary.where("word IS NOT NULL").join(totals).select("word", "n", "mean_length", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    floor = F.broadcast(idf.agg((F.avg("idf") * 0.25).alias("floor")))
+    asked = few(query.select(tokens(F.col("text")).alias("asked")))
+    wanted = asked.select(F.explode("asked").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    weights = wanted.join(idf, "word").join(floor).select("word", "times", "n", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    sized = docs.select("id", tokens(F.col("text")).alias("words")).join(asked).select("id", F.size("words").alias("length"), F.filter("words", lambda w: F.array_contains("asked", w)).alias("hits"))
+    found = sized.select("id", "length", F.explode("hits").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf")).join(F.broadcast(weights), "word")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return found.join(F.broadcast(totals)).groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    return found.groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, k: int = CANDIDATES, score: str = "score", key: str = "id") -> DataFrame:
@@ -46,7 +53,7 @@ def top_k(scored: DataFrame, k: int = CANDIDATES, score: str = "score", key: str
 
 def dense(chunks: DataFrame, query: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The k chunks (id, vector) nearest to the query (one row: q) by exact cosine."""
-    scored = chunks.where("vector is not null").join(F.broadcast(query)).select("id", cosine(F.col("vector"), F.col("q")).alias("score"))
+    scored = chunks.where("vector is not null").join(few(query)).select("id", cosine(F.col("vector"), F.col("q")).alias("score"))
     return top_k(scored.where("score is not null"), k)
 
 
@@ -106,7 +113,7 @@ def expand_sections(selected: DataFrame, chunks: DataFrame, limit: int) -> DataF
     """
     named = chunks.withColumn("family", section_family(F.col("section")))
     anchor = selected.where("rank = 1").join(named, "id").select(F.col("id").alias("anchor"), F.col("source_file").alias("a_file"), F.col("family").alias("a_family"), F.col("score").alias("a_score"))
-    kin = named.join(F.broadcast(anchor), named.source_file.eqNullSafe(F.col("a_file")) & (named.family == F.col("a_family")))
+    kin = named.join(few(anchor), named.source_file.eqNullSafe(F.col("a_file")) & (named.family == F.col("a_family")))
     kin = kin.select("id", F.when(F.col("id") == F.col("anchor"), F.col("a_score")).otherwise(F.lit(0.0)).alias("score"), F.lit(0).alias("part"), F.col("chunk_index").cast("long").alias("place"))
     rest = selected.join(kin.select("id"), "id", "left_anti").select("id", "score", F.lit(1).alias("part"), F.col("rank").cast("long").alias("place"))
     return kin.unionByName(rest).orderBy("part", "place", "id").limit(limit)
@@ -127,7 +134,7 @@ def library_score(items: DataFrame, as_of: Column, alpha: float, beta: float, ga
 
 def related_by_tags(items: DataFrame, anchor: DataFrame, limit: int = 15) -> DataFrame:
     """Items (id, name, tags) that share tags with an anchor (one row: id, tags), most shared first, then by name."""
-    one = F.broadcast(anchor.select(F.col("id").alias("anchor"), F.col("tags").alias("asked")))
+    one = few(anchor.select(F.col("id").alias("anchor"), F.col("tags").alias("asked")))
     shared = items.join(one, (items.id != F.col("anchor")) & F.arrays_overlap("tags", "asked"))
     return shared.select("id", "name", F.size(F.array_intersect("tags", "asked")).alias("n_shared")).orderBy(F.desc("n_shared"), F.lower("name"), "id").limit(limit)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lodestar.functions.text import approx_tokens, content_flags, contains_ws, fold, norm_ws, tail_words
 
@@ -190,41 +190,92 @@ def page_range(pages: Column) -> Column:
     return F.when(low == high, F.concat(F.lit("p."), low.cast("string"))).when(low.isNotNull(), F.concat(F.lit("p."), low.cast("string"), F.lit("-"), high.cast("string")))
 
 
-def chunks(blocks: DataFrame, keys: list[str]) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _packed(opens: pd.Series, sizes: pd.Series) -> pd.Series:
+    """For each element its group: a new one where it has to open one, or would take the group's size beyond TARGET."""
+
+    def fold(opened, size):
+        out, group, total = [], -1, 0
+        for new, n in zip(opened, size):
+            if new or total + n > TARGET:
+                group, total = group + 1, 0
+            total += n
+            out.append(group)
+        return out
+
+    return pd.Series([fold(o, n) for o, n in zip(opens, sizes)])
+
+
+def _counters(count: Callable[[str], int] | None) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]]:
+    """Expressions for the tokens of a text, its packs of bounded size, and its tail, by a counter or by the rule of 1.3 a word."""
+    if count is None:
+        return approx_tokens, split_oversize, lambda text: tail_words(text, OVERLAP)
+
+    @F.pandas_udf(T.IntegerType())
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(count)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def packs(texts: pd.Series) -> pd.Series:
+        def split(text):
+            parts = [p for p in text.split("\n\n") if p.strip()]
+            parts = parts if len(parts) > 1 else [p for p in text.split("\n") if p.strip()]
+            if count(text) <= MOST or len(parts) <= 1:
+                return [text]
+            made, size = [], 0
+            for part in parts:
+                n = count(part)
+                if made and size + n <= MOST:
+                    made[-1].append(part)
+                    size += n
+                else:
+                    made.append([part])
+                    size = n
+            return ["\n\n".join(m) for m in made]
+
+        return texts.map(split)
+
+    @F.pandas_udf(T.StringType())
+    def tail(texts: pd.Series) -> pd.Series:
+        def last(text):
+            words, n = (text or "").split(), max(1, int(OVERLAP / 1.3))
+            while n > 1 and count(" ".join(words[-n:])) > OVERLAP:
+                n = max(1, n // 2)
+            return " ".join(words[-n:])
+
+        return texts.map(last)
+
+    return tokens, packs, tail
+
+
+def chunks(blocks: DataFrame, keys: list[str], count: Callable[[str], int] | None = None) -> DataFrame:
     """Chunks (keys, chunk_index, text, section, pages, source_file and flags) of blocks (keys, idx, doc, page, section_path, kind, text).
 
     Blocks join while document and section stay and TARGET tokens aren't
     passed; groups below LEAST join the one before of their section; each has
-    the last words of the one before it in the document ahead of it.
+    the last words of the one before it in the document ahead of it. Tokens
+    are counted by a function, such as a tokenizer's, or by the rule of 1.3 a
+    word. Blocks are shuffled once, by keys.
     """
+    tokens, packs, tail_of = _counters(count)
     usable = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*DROPPED_KINDS) & (norm_ws(F.col("text")) != ""))
-    pieces = usable.select(*keys, "idx", "doc", "page", F.nullif(F.substring(F.array_join("section_path", " > "), 1, 200), F.lit("")).alias("section"), F.posexplode(split_oversize(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("part", "piece"))
-    ordered = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "part", "doc", "section", "page", "piece", approx_tokens(F.col("piece")).alias("n")))).alias("b"))
-    group = "struct<doc:string,section:string,pages:array<int>,texts:array<string>,n:int>"
-    empty = F.array().cast(f"array<{group}>")
-
-    def step(done: Column, b: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & last["doc"].eqNullSafe(b["doc"]) & last["section"].eqNullSafe(b["section"]) & (last["n"] + b["n"] <= TARGET)
-        page = F.when(b["page"].isNotNull(), F.array(b["page"])).otherwise(F.array().cast("array<int>"))
-        grown = F.struct(last["doc"].alias("doc"), last["section"].alias("section"), F.concat(last["pages"], page).alias("pages"), F.concat(last["texts"], F.array(b["piece"])).alias("texts"), (last["n"] + b["n"]).alias("n"))
-        new = F.struct(b["doc"].alias("doc"), b["section"].alias("section"), page.alias("pages"), F.array(b["piece"]).alias("texts"), b["n"].alias("n"))
-        head = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
-        return F.when(joins, F.concat(head, F.array(grown))).otherwise(F.concat(done, F.array(new)))
-
-    def fuse(done: Column, g: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        small = (F.size(done) > 0) & (approx_tokens(F.array_join(g["texts"], "\n\n")) < LEAST) & last["section"].eqNullSafe(g["section"]) & last["doc"].eqNullSafe(g["doc"])
-        grown = F.struct(last["doc"].alias("doc"), last["section"].alias("section"), F.concat(last["pages"], g["pages"]).alias("pages"), F.concat(last["texts"], g["texts"]).alias("texts"), last["n"].alias("n"))
-        head = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
-        return F.when(small, F.concat(head, F.array(grown))).otherwise(F.concat(done, F.array(g)))
-
-    grouped = ordered.select(*keys, F.aggregate("b", empty, step).alias("g")).select(*keys, F.aggregate("g", empty, fuse).alias("g"))
-    flat = grouped.select(*keys, F.posexplode("g").alias("chunk_index", "c")).withColumn("body", F.array_join("c.texts", "\n\n"))
+    pieces = usable.select(*keys, "idx", "doc", "page", F.nullif(F.substring(F.array_join("section_path", " > "), 1, 200), F.lit("")).alias("section"), F.posexplode(packs(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("part", "piece"))
+    sized = pieces.withColumn("n", tokens(F.col("piece")))
+    ordered = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "part", "doc", "section", "page", "piece", "n"))).alias("b"))
+    before = lambda i: F.get("b", i - 1)
+    opens = F.transform("b", lambda x, i: (i == 0) | ~before(i)["doc"].eqNullSafe(x["doc"]) | ~before(i)["section"].eqNullSafe(x["section"]))
+    placed = ordered.withColumn("g", _packed(opens, F.transform("b", lambda x: x["n"]))).select(*keys, F.posexplode(F.arrays_zip("b", "g")).alias("place", "x"))
+    body = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda p: p[text]), "\n\n").alias("body")
+    groups = placed.select(*keys, "place", "x.g", "x.b.*").groupBy(*keys, "g").agg(F.first("doc").alias("doc"), F.first("section").alias("section"), F.min("page").alias("lo"), F.max("page").alias("hi"), body("place", "piece"))
+    in_order = Window.partitionBy(*keys).orderBy("g")
+    same = F.lag("doc").over(in_order).eqNullSafe(F.col("doc")) & F.lag("section").over(in_order).eqNullSafe(F.col("section")) & (F.row_number().over(in_order) > 1)
+    counted = groups.withColumn("small", tokens(F.col("body")) < LEAST)
+    numbered = counted.withColumn("joins", F.col("small") & same).withColumn("chunk_index", (F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(in_order) - 1).cast("int"))
+    fused = numbered.groupBy(*keys, "chunk_index").agg(F.first("doc").alias("doc"), F.first("section").alias("section"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), body("g", "body"))
     place = Window.partitionBy(*keys).orderBy("chunk_index")
-    tail = F.when(F.lag("c.doc").over(place).eqNullSafe(F.col("c.doc")), tail_words(F.lag("body").over(place), OVERLAP))
-    full = flat.withColumn("text", F.when(F.coalesce(tail, F.lit("")) != "", F.concat(F.lit("[…] "), tail, F.lit("\n\n"), F.col("body"))).otherwise(F.col("body")))
-    return full.select(*keys, "chunk_index", "text", F.col("c.section").alias("section"), page_range(F.col("c.pages")).alias("page_range"), F.col("c.doc").alias("source_file"), *[c.alias(n) for n, c in content_flags(F.col("text")).items()])
+    told = fused.withColumn("before", F.when(F.lag("doc").over(place).eqNullSafe(F.col("doc")), F.lag("body").over(place)))
+    full = told.withColumn("tail", tail_of(F.coalesce("before", F.lit("")))).withColumn("text", F.when(F.col("tail") != "", F.concat(F.lit("[…] "), F.col("tail"), F.lit("\n\n"), F.col("body"))).otherwise(F.col("body")))
+    return full.select(*keys, "chunk_index", "text", "section", page_range(F.array("lo", "hi")).alias("page_range"), F.col("doc").alias("source_file"), *[c.alias(n) for n, c in content_flags(F.col("text")).items()])
 
 
 def match_chunks(texts: Column) -> Column:

@@ -37,7 +37,7 @@ p AS (
   UNION ALL SELECT c_custkey, 1, 'porte', CASE WHEN size IS NULL THEN 'unknown' WHEN size IN ('me','media') THEN 'sat' ELSE 'unsat' END FROM p
   UNION ALL SELECT c_custkey, 2, 'faturamento', CASE WHEN revenue IS NULL THEN 'unknown' WHEN revenue <= 5000 THEN 'sat' ELSE 'unsat' END FROM p
   UNION ALL SELECT c_custkey, 2, 'trl', CASE WHEN trl >= 4 THEN 'sat' ELSE 'unsat' END FROM p
-  UNION ALL SELECT c_custkey, 3, 'forma_juridica', CASE WHEN legal_form IS NULL THEN 'unknown' WHEN legal_form IN ('empresa','startup','mei','cooperativa') THEN 'sat' ELSE 'unsat' END FROM p
+  UNION ALL SELECT c_custkey, 3, 'forma_juridica', CASE WHEN legal_form IS NULL THEN 'unknown' WHEN legal_form IN ('empresa','startup','ltda','sa','eireli','me','epp') THEN 'sat' ELSE 'unsat' END FROM p
   UNION ALL SELECT c_custkey, 3, 'sede_uf', CASE WHEN uf IS NULL THEN 'unknown' WHEN uf = 'SE' THEN 'unsat' ELSE 'sat' END FROM p
   UNION ALL SELECT c_custkey, 4, 'parceria', 'unknown' FROM p
   UNION ALL SELECT c_custkey, 5, NULL, 'sat' FROM p
@@ -59,7 +59,21 @@ def eligibility_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = {name: F.col(name) for name in ("uf", "size", "revenue", "trl", "legal_form")}
     rows = _companies(spark, sf_dir).join(F.broadcast(_constraints(spark)))  # six opportunities
     judged = E.judge(rows, profile, ["c_custkey", "opportunity"])
-    return judged.withColumn("unsat_kinds", F.array_join("unsat_kinds", ","))
+    return judged.withColumn("unsat_kinds", F.array_join("unsat_kinds", ",")).drop("unsat", "unknown")
+
+
+@REGISTRY.add(
+    "eligibility_reasons",
+    f"""WITH {_PROFILE_SQL}, said AS (SELECT *, CASE kind WHEN 'sede_uf' THEN 'Informe a UF da sede para confirmar a elegibilidade.' WHEN 'porte' THEN 'Informe o porte da empresa para verificar este requisito.'
+      WHEN 'faturamento' THEN 'O faturamento anual precisa estar dentro do limite do edital.' WHEN 'forma_juridica' THEN 'A empresa precisa informar natureza jurídica para verificar este requisito.' WHEN 'parceria' THEN 'É necessário ter parceria com uma ICT.'
+      WHEN 'trl' THEN CASE opportunity WHEN 2 THEN 'O nível de maturidade tecnológica precisa atingir o mínimo do edital.' ELSE 'A empresa precisa informar nível de maturidade tecnológica para verificar este requisito.' END END AS why FROM v)
+    SELECT c_custkey, opportunity, coalesce(string_agg(why, '|' ORDER BY why) FILTER (v = 'unsat'), '') AS unsat, coalesce(string_agg(why, '|' ORDER BY why) FILTER (v = 'unknown'), '') AS unknown FROM said GROUP BY 1, 2""",
+)
+def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What excludes every company under every opportunity, and what its profile lacks."""
+    profile = {name: F.col(name) for name in ("uf", "size", "revenue", "trl", "legal_form")}
+    judged = E.judge(_companies(spark, sf_dir).join(F.broadcast(_constraints(spark))), profile, ["c_custkey", "opportunity"])  # six opportunities
+    return judged.select("c_custkey", "opportunity", F.array_join("unsat", "|").alias("unsat"), F.array_join("unknown", "|").alias("unknown"))
 
 
 @REGISTRY.add(
@@ -152,21 +166,21 @@ def temporal_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS_SQL = """
-c AS (SELECT vec_id AS company_chunk, embedding::DOUBLE[] AS cv, CASE WHEN vec_id = 3 THEN 'hyde' ELSE 'profile' END AS origin FROM embeddings WHERE vec_id < 10),
-pairs AS (SELECT label AS entity, company_chunk, origin, vec_id AS entity_chunk, round(list_cosine_similarity(cv, embedding::DOUBLE[]), 9) AS similarity FROM embeddings, c WHERE vec_id >= 10),
+c AS (SELECT vec_id AS company_chunk, embedding::DOUBLE[] AS cv, CASE WHEN vec_id % 60 = 0 THEN 'hyde' ELSE 'profile' END AS origin FROM embeddings WHERE vec_id % 20 = 0),
+pairs AS (SELECT label AS entity, company_chunk, origin, vec_id AS entity_chunk, round(list_cosine_similarity(cv, embedding::DOUBLE[]), 9) AS similarity FROM embeddings, c WHERE vec_id % 20 > 0),
 aff AS (SELECT entity, avg(s) AS affinity, max(s) AS best FROM (SELECT entity, company_chunk, max(similarity) AS s FROM pairs GROUP BY 1, 2) GROUP BY 1)
 """
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    company = e.where("vec_id < 10").select(F.col("vec_id").alias("company_chunk"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") == 3, "hyde").otherwise("profile").alias("origin"))
-    return M.pair_scores(company, e.where("vec_id >= 10").select(F.col("label").alias("entity"), F.col("vec_id").alias("entity_chunk"), F.col("embedding").alias("vector")))
+    company = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("company_chunk"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 60 == 0, "hyde").otherwise("profile").alias("origin"))
+    return M.pair_scores(company, e.where("vec_id % 20 > 0").select(F.col("label").alias("entity"), F.col("vec_id").alias("entity_chunk"), F.col("embedding").alias("vector")))
 
 
 @REGISTRY.add("maxsim_affinity", f"WITH {_PAIRS_SQL} SELECT entity, round(affinity, 6) AS affinity, round(best, 6) AS best FROM aff")
 def maxsim_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late-interaction affinity of every entity with a profile of ten chunks."""
+    """Late-interaction affinity of every entity with a profile, the chunks whose id is divisible by 20."""
     return M.affinity(_pairs(spark, sf_dir)).select("entity", F.round("affinity", 6).alias("affinity"), F.round("best", 6).alias("best"))
 
 
@@ -184,7 +198,7 @@ def maxsim_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "match_funnel",
     f"""WITH {_PAIRS_SQL},
-    ent AS (SELECT o_orderkey AS entity, CASE WHEN o_orderdate::DATE >= DATE '1992-06-01' THEN 'active' ELSE 'closed' END AS validity, CASE WHEN o_orderkey = 4 THEN 'inelegivel' ELSE 'elegivel' END AS status, o_orderkey % 2 = 0 AS same FROM orders WHERE o_orderkey <= 9)
+    ent AS (SELECT o_orderkey AS entity, CASE WHEN o_orderdate::DATE >= DATE '1992-06-01' THEN 'active' ELSE 'closed' END AS validity, CASE WHEN o_orderkey = 4 THEN 'inelegivel' ELSE 'elegivel' END AS status, o_orderkey % 2 = 0 AS same FROM orders)
     SELECT entity, round(CASE WHEN same THEN least(affinity * 1.1, 1.0) ELSE affinity END, 6) AS score, status FROM aff JOIN ent USING (entity)
     WHERE validity = 'active' AND status <> 'inelegivel' AND round(CASE WHEN same THEN least(affinity * 1.1, 1.0) ELSE affinity END, 9) >= 0.3
     ORDER BY round(CASE WHEN same THEN least(affinity * 1.1, 1.0) ELSE affinity END, 9) DESC, entity LIMIT 8""",
@@ -192,7 +206,7 @@ def maxsim_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Living, eligible entities by boosted affinity over a floor; the vectors here are far apart, so it is lower."""
     key = F.col("o_orderkey")
-    entities = table(spark, sf_dir, "orders").where("o_orderkey <= 9").select(
+    entities = table(spark, sf_dir, "orders").select(
         key.cast("int").alias("entity"), F.when(F.to_date("o_orderdate") >= "1992-06-01", "active").otherwise("closed").alias("validity"),
         F.when(key == 4, "inelegivel").otherwise("elegivel").alias("status"), F.array(F.when(key % 2 == 0, "Saúde").otherwise("Energia")).alias("sectors"))
     best = M.funnel(entities, _pairs(spark, sf_dir), F.array(F.lit("Saúde")), floor=0.3)
@@ -216,9 +230,9 @@ def structural_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "verdict_reorder",
-    "SELECT o_orderkey AS entity, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 1 END, o_orderkey)::INT AS new_place FROM orders WHERE o_orderkey <= 50",
+    "SELECT o_custkey AS company, o_orderkey AS entity, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 1 END, o_orderkey)::INT AS new_place FROM orders",
 )
 def verdict_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches with high verdicts first and low ones last."""
-    shown = table(spark, sf_dir, "orders").where("o_orderkey <= 50").select(F.col("o_orderkey").alias("entity"), F.col("o_orderkey").alias("place"), F.when(F.col("o_orderstatus") == "F", "alta").when(F.col("o_orderstatus") == "O", "baixa").otherwise("media").alias("verdict"))
-    return M.reorder_by_verdict(shown).select("entity", "new_place")
+    """Matches of every company with high verdicts first and low ones last."""
+    shown = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderkey").alias("entity"), F.col("o_orderkey").alias("place"), F.when(F.col("o_orderstatus") == "F", "alta").when(F.col("o_orderstatus") == "O", "baixa").otherwise("media").alias("verdict"))
+    return M.reorder_by_verdict(shown, ["company"]).select("company", "entity", "new_place")

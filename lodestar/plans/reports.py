@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestar.functions.vectors import cosine
 from lodestar.operators import catalog as C, coverage as V, metrics as M, validity as T
 from lodestar.registry import REGISTRY, table
+from lodestar.session import few
 
 NOW = "2024-01-31 00:00:00"
+#: Query vectors that are sent to all tasks at most; beyond, rankings are to be taken in blocks.
+QUERY_VECTORS = 20_000
 
 
 def now():
@@ -248,7 +251,7 @@ def theme_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    queries = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("wanted")))
+    queries = few(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("wanted")), QUERY_VECTORS)
     pairs = e.join(queries, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("id"), "label", "wanted", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     from pyspark.sql import Window
 
@@ -257,7 +260,7 @@ def _ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 RANKING_SQL = """
-q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q, label AS wanted FROM embeddings WHERE vec_id < 20),
+q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q, label AS wanted FROM embeddings WHERE vec_id % 20 = 0),
 p AS (SELECT query, vec_id AS id, label = wanted AS rel, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, q WHERE vec_id <> query),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM p QUALIFY rank <= 20),
 nr AS (SELECT query, count(*) FILTER (rel) AS n FROM p GROUP BY 1)
@@ -270,7 +273,7 @@ nr AS (SELECT query, count(*) FILTER (rel) AS n FROM p GROUP BY 1)
       round(coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10 AND rel), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= any_value(nr.n)), 6) AS ndcg FROM r JOIN nr USING (query) GROUP BY query, nr.n""",
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of 20 dense rankings; vectors of a query's label are relevant."""
+    """Scores of dense rankings, a query for each id that is divisible by 20; vectors of a query's label are relevant."""
     ranking, relevant = _ranking(spark, sf_dir)
     got = M.rank_scores(M.judged(ranking, relevant), relevant, 10)
     return got.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "reciprocal_rank", "ndcg")})
@@ -441,10 +444,10 @@ def status_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.transitions(rows, "user_id", "ts", "event_id").select("event_id", "from_status")
 
 
-@REGISTRY.add("title_search", "SELECT doc_id AS id FROM documents WHERE doc_id % 5 > 0 AND substr(text, 1, 80) ILIKE '%the%'")
+@REGISTRY.add("title_search", "SELECT doc_id AS id FROM documents WHERE doc_id % 5 > 0 AND text ILIKE '%the%'")
 def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that aren't archived with a word in their title."""
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.when(F.col("doc_id") % 5 == 0, "yes").alias("archived"), F.col("doc_id").alias("created"), F.lit("doc").alias("kind"))
+    """Items that aren't archived with a word in their title, which is a document's text here."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.when(F.col("doc_id") % 5 == 0, "yes").alias("archived"), F.col("doc_id").alias("created"), F.lit("doc").alias("kind"))
     return C.search_items(items, "THE").select("id")
 
 

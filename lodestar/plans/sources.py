@@ -9,20 +9,28 @@ from lodestar.registry import REGISTRY, table
 from lodestar.sources import bronze as B, web as W
 
 NORM_SQL = "lower(regexp_replace(regexp_replace({u}, '#.*$', ''), '/+$', ''))"
-_NORMAL_SQL = """lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))
-  || regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
-  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END"""
-_Q_SQL = "list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^?]*\\?(.*)$', 1), '&'), lambda kv: kv <> '' AND NOT regexp_matches(lower(kv), '^(utm_|fbclid|gclid|mc_cid|mc_eid)'))"
+#: Addresses of every shape, beside those of the pages.
+_SHAPES = ["a.b/c", "", "//Host/p/", "mailto:x@y", "HTTP:/x", "https:", "x:y?utm_a=1&b=2#f", "a?b", "http://H.org?gclid=1", "file:///tmp/", "ftp://u@H:21//a//", "?q", "1a:b", "http://h/a?B=1&&UTM_x=2"]
+_PARTS_SQL = "regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?', ['s', 'h', 'p', 'q'])"
+_NORMAL_SQL = """CASE WHEN x.s <> '' THEN lower(x.s) || ':' ELSE '' END
+  || CASE WHEN x.h <> '' THEN '//' || lower(x.h) WHEN starts_with(path, '//') OR (lower(x.s) IN ('http', 'https', 'ftp', 'file') AND (path = '' OR starts_with(path, '/'))) THEN '//' ELSE '' END
+  || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END"""
+_Q_SQL = "list_filter(string_split(x.q, '&'), lambda kv: kv <> '' AND NOT regexp_matches(lower(kv), '^(utm_|fbclid|gclid|mc_cid|mc_eid)'))"
+_HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
 @REGISTRY.add(
     "url_identity",
-    f"""SELECT page_id, {NORM_SQL.format(u='url')} AS norm, normal, substr(sha1(normal), 1, 12) AS url_hash, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host, false AS social, false AS dedicated
-    FROM (SELECT page_id, url, {_NORMAL_SQL} AS normal FROM (SELECT page_id, url, {_Q_SQL} AS q FROM pages))""",
+    f"""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT -1 - i, [{", ".join(f"'{u}'" for u in _SHAPES)}][i + 1] FROM range({len(_SHAPES)}) t(i))
+    SELECT page_id, {NORM_SQL.format(u='url')} AS norm, normal, substr(sha1(normal), 1, 12) AS url_hash, nullif({_HOST_SQL}, '') AS host,
+      regexp_matches({_HOST_SQL}, '(^|\\.)(instagram|facebook|linkedin|x|twitter|youtube|tiktok)\\.com$') AS social, regexp_matches({_HOST_SQL}, '(^|\\.)(finep\\.gov|fapesp)\\.br$') AS dedicated
+    FROM (SELECT page_id, url, {_NORMAL_SQL} AS normal FROM (SELECT page_id, url, x, rtrim(x.p, '/') AS path, {_Q_SQL} AS q FROM (SELECT page_id, url, {_PARTS_SQL} AS x FROM u)))""",
 )
 def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity of every page's address."""
-    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in W.identity(F.col("url")).items()])
+    """Identity of every page's address, and of addresses of every shape."""
+    shapes = spark.createDataFrame([(-1 - k, u) for k, u in enumerate(_SHAPES)], "page_id long, url string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").unionByName(shapes)
+    return pages.select("page_id", *[c.alias(n) for n, c in W.identity(F.col("url")).items()])
 
 
 @REGISTRY.add("page_title", """SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
@@ -117,9 +125,9 @@ def distinct_natives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILES_SQL = """
-f AS (SELECT o_custkey AS group_key, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'edital_' || strftime(o_orderdate, '%d_%m_%Y') WHEN 1 THEN 'FAQ-versao-' || (o_orderkey % 9) WHEN 2 THEN 'anexo_' || (o_orderkey % 3) || '_' || (1 + o_orderkey % 5) || 'a-rerratificacao' ELSE 'outro_' || o_orderkey END || '.pdf' AS name FROM orders WHERE o_custkey <= 100),
+f AS (SELECT o_custkey AS group_key, o_orderkey, o_orderdate, CASE o_orderkey % 4 WHEN 0 THEN 'edital_' || strftime(o_orderdate, '%d_%m_%Y') WHEN 1 THEN 'FAQ-versao-' || (o_orderkey % 9) WHEN 2 THEN 'anexo_' || (o_orderkey % 3) || '_' || (1 + o_orderkey % 5) || 'a-rerratificacao' ELSE 'outro_' || o_orderkey END || '.pdf' AS name FROM orders),
 v AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN '__edital__' WHEN 1 THEN '__faq__' WHEN 2 THEN '__anexo_' || (o_orderkey % 3) || '__' END AS family,
-      CASE o_orderkey % 4 WHEN 0 THEN strftime((SELECT o.o_orderdate FROM orders o WHERE o.o_orderkey = f.o_orderkey), '%Y%m%d')::BIGINT WHEN 1 THEN (o_orderkey % 9) * 1000 ELSE 0 END AS recency FROM f)
+      CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y%m%d')::BIGINT WHEN 1 THEN (o_orderkey % 9) * 1000 ELSE 0 END AS recency FROM f)
 """
 
 
@@ -136,7 +144,7 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 4 == 2, F.concat(F.lit("anexo_"), (key % 3).cast("string"), F.lit("_"), (1 + key % 5).cast("string"), F.lit("a-rerratificacao")))
         .otherwise(F.concat(F.lit("outro_"), key.cast("string")))
     )
-    files = table(spark, sf_dir, "orders").where("o_custkey <= 100").select(F.col("o_custkey").alias("group_key"), "o_orderkey", F.concat(name, F.lit(".pdf")).alias("name"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_key"), "o_orderkey", F.concat(name, F.lit(".pdf")).alias("name"))
     # Equal names are told apart by the order's key.
     marked = B.mark_versions(files.withColumn("name", F.concat(F.regexp_replace("name", r"\.pdf$", ""), F.lit("."), F.lpad(key.cast("string"), 12, "0"))))
     return marked.select("o_orderkey", F.coalesce("family", F.lit("")).alias("family"), "recency", "authority")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "lodestar", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -30,6 +30,22 @@ def local_session(app: str = "lodestar", cpus: int | None = None, partitions: in
     )
 
 
+#: Rows up to which a table is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it has at most so many rows; beyond, joins shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+
+
+def few(table: DataFrame, rows: int = 1) -> DataFrame:
+    """The table, marked for broadcast; an error if it has more than so many rows, as a query or a rule table hasn't."""
+    if table.limit(rows + 1).count() > rows:
+        raise ValueError(f"a table of {rows} rows at most has more")
+    return F.broadcast(table)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows, written as a table to the checkpoint folder and read again, so that plans of loops stay short.
 
@@ -38,6 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         folder = context.getCheckpointDir()

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from lodestar.session import small
+
 #: One structured block of a document.
 BLOCK = T.StructType([
     T.StructField("idx", T.IntegerType()), T.StructField("doc", T.StringType()), T.StructField("page", T.IntegerType()),
@@ -169,7 +175,7 @@ def mark_versions(files: DataFrame, overrides: DataFrame | None = None) -> DataF
     place = F.row_number().over(Window.partitionBy("group_key", "family").orderBy(F.desc("recency"), "name"))
     marked = marked.withColumn("authority", F.when(F.col("family").isNull() | (place == 1), "vigente").otherwise("superseded"))
     if overrides is not None:
-        marked = marked.join(F.broadcast(overrides.select("name", F.col("authority").alias("_by_hand"))), "name", "left").withColumn("authority", F.coalesce("_by_hand", "authority")).drop("_by_hand")
+        marked = marked.join(small(overrides.select("name", F.col("authority").alias("_by_hand"))), "name", "left").withColumn("authority", F.coalesce("_by_hand", "authority")).drop("_by_hand")
     return marked
 
 
@@ -205,10 +211,34 @@ def save_blob(spark: SparkSession, path: str, key: str, blob: str) -> None:
     row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(path)
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules (file, key, rule as JSON) of the YAML blocks in Markdown files; a later block of a file wins over an earlier one.
+
+    Blocks that aren't a mapping are left out. A file of rules is written by
+    hand, so one is a row.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("rule", T.StringType())])))
+    def rules(texts: pd.Series) -> pd.Series:
+        import yaml
+
+        def of(text):
+            merged = {}
+            for block in re.findall(r"```yaml\n(.*?)```", text or "", re.S):
+                found = yaml.safe_load(block)
+                merged |= found if isinstance(found, dict) else {}
+            return [{"key": str(k), "rule": json.dumps(v, ensure_ascii=False, default=str)} for k, v in merged.items()]
+
+        return pd.Series([of(text) for text in texts])
+
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
+    return files.select("file", F.explode(rules("value")).alias("r")).select("file", "r.key", "r.rule")
+
+
 def dimension(spark: SparkSession, rows: list[tuple], schema: str, column: str, allowed: set[str]) -> DataFrame:
     """A small table of rules, with its vocabulary checked."""
     out = spark.createDataFrame(rows, schema)
-    bad = [r[0] for r in out.select(column).distinct().collect() if r[0] not in allowed]  # a table of rules, written by hand
+    bad = out.where(~F.coalesce(F.col(column).isin(*allowed), F.lit(False))).select(column).first()
     if bad:
         raise ValueError(f"{column} has {bad[0]!r}, which is none of {sorted(allowed)}")
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.ids import CHILD_KEYWORDS, DEDICATED_HOSTS, SOCIAL_HOSTS, host_in, host_of, norm_url, normalize_web_url, path_of, web_url_hash
+from lodestar.session import small
 
 #: Character references of plain markup.
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
@@ -96,7 +97,7 @@ def stage(staged: DataFrame, records: DataFrame) -> DataFrame:
 def within_budget(candidates: DataFrame, budgets: DataFrame) -> DataFrame:
     """The first candidates of each channel (channel, seq), as many as its budget (channel, budget)."""
     place = F.row_number().over(Window.partitionBy("channel").orderBy("seq"))
-    return candidates.withColumn("_n", place).join(F.broadcast(budgets), "channel").where("_n <= budget").drop("_n", "budget")
+    return candidates.withColumn("_n", place).join(small(budgets), "channel").where("_n <= budget").drop("_n", "budget")
 
 
 def identity(url: Column) -> dict[str, Column]:

@@ -18,19 +18,20 @@ from lodestar.functions.ids import norm_url
 def incident_stream(observations: DataFrame) -> DataFrame:
     """Transitions of incidents from a stream of (fingerprint string, at timestamp, seq long, active boolean).
 
-    The state of a fingerprint is whether its incident is open. Rows of one
+    The state of a fingerprint is that its incident is open, and goes when it
+    has recovered, so there are as many states as open incidents. Rows of one
     batch count in order of (at, seq).
     """
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = bool(state.get[0]) if state.exists else False
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples():
-            if bool(row.active) != open_:
-                open_ = bool(row.active)
-                out.append((key[0], int(row.seq), "open" if open_ else "recovered"))
-        state.update((open_,))
-        yield pd.DataFrame(out, columns=["fingerprint", "seq", "transition"])
+        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+        active = rows["active"].astype(bool)
+        changed = rows[active != active.shift(fill_value=state.exists)]
+        if active.iloc[-1]:
+            state.update((True,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"fingerprint": key[0], "seq": changed["seq"].astype("int64"), "transition": changed["active"].astype(bool).map({True: "open", False: "recovered"})})
 
     return observations.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint string, seq long, transition string", "open boolean", "append", GroupStateTimeout.NoTimeout)
 

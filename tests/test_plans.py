@@ -26,7 +26,7 @@ def test_columns_are_pruned(spark, name, unread):
         assert unread not in re.findall(r"(\w+):", schema)
 
 
-@pytest.mark.parametrize("name", ["temporal_validity", "content_flags", "call_status", "section_class", "split_units", "pack_chunks", "url_identity", "html_plain_text", "theme_match", "trigram_overlap", "search_tokens"])
+@pytest.mark.parametrize("name", ["temporal_validity", "content_flags", "call_status", "section_class", "split_units", "pack_chunks", "url_identity", "html_plain_text", "theme_match", "search_tokens"])
 def test_row_operators_do_not_shuffle(spark, name):
     text = plan(REGISTRY.queries[name](spark, SF))
     assert "Exchange" not in text and "Python" not in text and "Pandas" not in text
