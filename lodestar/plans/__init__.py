@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "matching", "graph", "sources", "silver", "reports")
+MODULES = ("retrieval", "matching", "graph", "sources", "silver", "reports", "gates")
 
 
 def load() -> None:
