@@ -74,6 +74,7 @@ PARTS_OF_NAMES = frozenset(
     "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended recommendations related respond share sharing sidebar signup sitemap social "
     "sponsor sponsored subscribe subscription toolbar topbar widget widgets replies discussion".split()
 )
+PARTS_OF_LAYOUT = frozenset("area block body bottom box col column container content footer global group inner item items left list main outer page panel primary right row secondary section site top wrap wrapper".split()) - PARTS_OF_NAMES
 NAMES_OF_ARTICLES = frozenset("ad advert advertisement comment promo promoted related recommended reply sponsored teaser widget".split())
 LISTS = frozenset("ul ol dl menu dir".split())
 ENDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -118,7 +119,8 @@ def _sign(tag: str, attributes: str) -> str:
 def kind(sign: str) -> str:
     """What a sign says of its element: unseen, outside, suspect, header, main or plain.
 
-    Of the parts of a class or id, the first and the last tell what it names.
+    Of the parts of a class or id, the first and the last tell what it names,
+    but for numbers and words of the layout around them.
     """
     tag, roles = re.split(r"[.#@]", sign)[0], re.findall(r"@(\w+)", sign)
     names = re.findall(r"[.#]([^.#@]+)", sign)
@@ -132,8 +134,9 @@ def kind(sign: str) -> str:
         return "outside"
     if "main" in roles:
         return "main"
-    parts = [[p.lower() for p in _NAME_PARTS.findall(n)] for n in names]
-    ends = {p for n in parts if n for p in (n[0], n[-1])}
+    parts = [[p.lower() for p in _NAME_PARTS.findall(n) if p != "N"] for n in names]  # N stands for digits
+    telling = [[k for k, p in enumerate(n) if p not in PARTS_OF_LAYOUT] for n in parts]
+    ends = {n[k] for n, at in zip(parts, telling) if at for k in (at[0], at[-1])}
     if ends & PARTS_OF_NAMES:
         return "suspect"
     return "header" if tag == "header" or ends & {"header", "masthead"} else "plain"

@@ -162,6 +162,10 @@ def test_names_are_hints():
     body = "<p>Real body of the story.</p><p>And more of it.</p>"
     for page in (f'<div id="content"><div class="story-social-issues">{body}</div></div>', f'<h1>Title</h1><div class="widget-area">{body}</div>', f'<div class="sidebar-left">{body}</div>'):
         assert hw.main_text(page).endswith("Real body of the story.\nAnd more of it.")
+    for name in ("post-ad-3", "site-footer-wrapper", "left-sidebar-inner", "post-comments-list", "ad", "mainNav", "cookie-bar", "newsletter_box2"):
+        assert hw.main_text(f"<div class=text>{body}</div><div class={name}>No part of it.</div>") == "Real body of the story.\nAnd more of it.", name
+    for name in ("breaking-advert-free-news", "content", "page-content", "story-social-issues", "col-8"):
+        assert hw.main_text(f"<h1>T</h1><p>Short.</p><div class={name}>{body}</div>").endswith("And more of it."), name
     comments = "<div class='comment-list'>" + "<p>A reader says a lot of things here.</p>" * 9 + "</div>"
     assert hw.main_text(f"<div class=text>{body}</div>{comments}") == "Real body of the story.\nAnd more of it."
     menu = "<main><h1>Title</h1><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul><p>Text.</p></main>"
