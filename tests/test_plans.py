@@ -6,6 +6,7 @@ import pytest
 
 from lodestar import plans
 from lodestar.registry import REGISTRY
+from lodestar.session import few, small
 
 plans.load()
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,23 @@ def test_row_operators_do_not_shuffle(spark, name):
 @pytest.mark.parametrize("name", sorted(REGISTRY.queries))
 def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in plan(REGISTRY.queries[name](spark, SF))
+
+
+#: Queries that join without a key, each with a side of checked or fixed size: one query, one row of totals, a rule table, a profile.
+SMALL_SIDES = {
+    "bm25_topk": "query and totals", "rrf_hybrid": "query and totals", "hybrid_retrieve": "query and totals", "dense_topk": "query", "library_score": "query", "tag_neighbors": "anchor",
+    "degree_centrality": "totals", "size_distribution": "totals", "freshness": "totals", "snapshot_equal": "totals", "eligibility_verdict": "rules", "eligibility_reasons": "rules", "eligibility_trail": "rules",
+    "match_funnel": "profile", "maxsim_affinity": "profile", "maxsim_excerpts": "profile", "retrieval_metrics": "queries", "ndcg3": "queries", "false_positives": "queries", "unjudged": "queries", "quote_resolve": "names of sources",
+}
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY.queries))
+def test_joins_without_a_key_have_a_small_side(spark, name):
+    assert ("BroadcastNestedLoopJoin" in plan(REGISTRY.queries[name](spark, SF))) == (name in SMALL_SIDES)
+
+
+def test_sides_are_counted(spark):
+    assert "BroadcastExchange" in plan(spark.range(9).join(small(spark.range(5), 5), "id"))
+    assert "BroadcastExchange" not in plan(spark.range(9).join(small(spark.range(6), 5), "id"))
+    with pytest.raises(ValueError, match="at most"):
+        few(spark.range(2))
