@@ -5,6 +5,8 @@ Every ranking has a total order: scores first, then the id.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.text import fold, search_tokens, word_tokens
@@ -13,6 +15,8 @@ from lodestar.session import cut_lineage, few
 
 #: Candidates of an arm, the constant of fusion, boost of a fitting flag, hits of one source, BM25's two parameters.
 CANDIDATES, FUSION, BOOST, PER_SOURCE, K1, B = 20, 60, 1.2, 2, 1.5, 0.75
+#: What the word that tells a document's length starts with; no token has it.
+LENGTH = "\0"
 #: Shares and half-lives of the library score.
 RECENCY_DAYS, REFERENCE_DAYS = 90.0, 30.0
 
@@ -27,19 +31,23 @@ def bm25(docs: DataFrame, query: DataFrame, tokens=search_tokens) -> DataFrame:
     combined before the shuffle and written as a table of the vocabulary, and
     once for scores, where only words of the query leave a document.
     """
-    # The row of a document itself has no word; its length stands in for one.
-    own = F.array_distinct("words")
-    entry = lambda word, length: F.struct(word.alias("word"), length.alias("length"))
-    entries = F.concat(F.array(entry(F.lit(None).cast("string"), F.size("words"))), F.transform(own, lambda w: entry(w, F.lit(0))))
-    spread = docs.select(tokens(F.col("text")).alias("words")).select(F.explode(entries).alias("e")).groupBy("e.word").agg(F.count("*").alias("df"), F.sum("e.length").alias("length"))
-    vocabulary = cut_lineage(spread)
-    totals = F.broadcast(vocabulary.where("word IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("mean_length")))
-    idf = vocabulary.where("word IS NOT NULL").join(totals).select("word", "n", "mean_length", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    spark = docs.sparkSession
+    rows = query.select(tokens(F.col("text"))).limit(2).collect()  # one query
+    if len(rows) > 1:
+        raise ValueError("a query is one row")
+    asked = Counter(rows[0][0] if rows else [])
+    # Each document has a word more, which says how long it is.
+    words = tokens(F.col("text"))
+    own = F.concat(F.array_distinct("words"), F.array(F.concat(F.lit(LENGTH), F.size("words").cast("string"))))
+    vocabulary = cut_lineage(docs.select(words.alias("words")).select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    is_length = F.col("word").startswith(LENGTH)
+    lengths = vocabulary.where(is_length).select("df", F.substring("word", len(LENGTH) + 1, 20).cast("long").alias("length"))
+    totals = F.broadcast(lengths.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum(F.col("df") * F.col("length")) / F.sum("df")).alias("mean_length")))
+    idf = vocabulary.where(~is_length).join(totals).select("word", "n", "mean_length", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     floor = F.broadcast(idf.agg((F.avg("idf") * 0.25).alias("floor")))
-    asked = few(query.select(tokens(F.col("text")).alias("asked")))
-    wanted = asked.select(F.explode("asked").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
-    weights = wanted.join(idf, "word").join(floor).select("word", "times", "n", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    sized = docs.select("id", tokens(F.col("text")).alias("words")).join(asked).select("id", F.size("words").alias("length"), F.filter("words", lambda w: F.array_contains("asked", w)).alias("hits"))
+    wanted = F.broadcast(spark.createDataFrame(sorted(asked.items()), "word string, times long"))
+    weights = idf.join(wanted, "word").join(floor).select("word", "times", "n", "mean_length", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    sized = docs.select("id", words.alias("words")).select("id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(*asked)).alias("hits"))
     found = sized.select("id", "length", F.explode("hits").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf")).join(F.broadcast(weights), "word")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return found.groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")

@@ -258,7 +258,7 @@ def chunks(blocks: DataFrame, keys: list[str], count: Callable[[str], int] | Non
     word. Blocks are shuffled once, by keys.
     """
     tokens, packs, tail_of = _counters(count)
-    usable = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*DROPPED_KINDS) & (norm_ws(F.col("text")) != ""))
+    usable = blocks.where(~F.coalesce(F.col("kind"), F.lit("")).isin(*DROPPED_KINDS)).repartition(*keys).where(norm_ws(F.col("text")) != "")
     pieces = usable.select(*keys, "idx", "doc", "page", F.nullif(F.substring(F.array_join("section_path", " > "), 1, 200), F.lit("")).alias("section"), F.posexplode(packs(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("part", "piece"))
     sized = pieces.withColumn("n", tokens(F.col("piece")))
     ordered = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "part", "doc", "section", "page", "piece", "n"))).alias("b"))
