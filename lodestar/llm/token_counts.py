@@ -31,6 +31,7 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED = 500_000
 #: Characters of a part beyond which its count isn't remembered.
 LONGEST = 100
+NEVER = float("-inf")
 SPACE = "▁"
 
 
@@ -59,29 +60,30 @@ class Counter:
 
     def viterbi(self, text: str) -> int:
         """Tokens on the best path of a normalized text; as many ends are held as the longest piece has characters, and one."""
-        held = self.longest + 1
+        held, unknown, by_bytes = self.longest + 1, self.unknown, self.by_bytes
         score, count, whole = [0.0] * held, [0] * held, [False] * held
-        matches = iter(self.automaton.iter(text))
-        match = next(matches, None)
-        for end in range(1, len(text) + 1):
-            best, tokens, unknown, single, here = None, 0, False, False, []
-            while match is not None and match[0] < end:
-                here.append(match[1])
-                match = next(matches, None)
-            here.sort(reverse=True)
-            for length, worth in here:
-                single |= length == 1
-                start = (end - length) % held
+        # Matches come by their last character, of one character the longest first.
+        matches, done = iter(self.automaton.iter(text)), (-1, (0, 0.0))
+        last, (length, worth) = next(matches, done)
+        before = here = 0
+        for at, character in enumerate(text):
+            best, tokens, single = NEVER, 0, False
+            while last == at:
+                start = (at + 1 - length) % held
                 found = score[start] + worth
-                if best is None or found > best:
+                if found > best:
                     best, tokens = found, count[start] + 1
-            last = (end - 1) % held
-            if not single and (best is None or score[last] + self.unknown > best):
-                best, unknown = score[last] + self.unknown, True
-                tokens = count[last] + (len(text[end - 1].encode()) if self.by_bytes else not whole[last])
-            here = end % held
-            score[here], count[here], whole[here] = best, tokens, unknown
-        return count[len(text) % held]
+                single = length == 1
+                last, (length, worth) = next(matches, done)
+            here = (at + 1) % held
+            whole[here] = False
+            if not single and score[before] + unknown > best:
+                best = score[before] + unknown
+                tokens = count[before] + (len(character.encode()) if by_bytes else not whole[before])
+                whole[here] = True
+            score[here], count[here] = best, tokens
+            before = here
+        return count[here]
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; 0 for null."""

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as cp
-from lodestar.llm import decontaminate as dc, mixing, quality_classifier as qc
+from lodestar.llm import common, decontaminate as dc, mixing, quality_classifier as qc
 from tests.llm.test_simhash import slow
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,13 @@ def test_empty_documents(spark, docs):
         assert now.count() == 0
 
 
-def test_run(spark):
+def test_run_is_its_stages_one_after_another(spark):
     out = cp.run(spark, SF)
-    assert out.count() > 50 and {"doc_id", "text", "shard"} <= set(out.columns)
+    want = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = want.columns
+    for _, stage in cp.STAGES:
+        want = stage(spark, want, SF).select(*columns)
+    assert out.count() > 50 and out.columns == [*columns, "shard", "shard_bytes", "version"]
+    got = out.select(*columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert common.clear(spark) > 20 and common.clear(spark) == 0  # what the stages left in the shared folder
