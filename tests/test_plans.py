@@ -33,11 +33,6 @@ def test_row_operators_do_not_shuffle(spark, name):
     assert "Exchange" not in text and "Python" not in text and "Pandas" not in text
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY.queries))
-def test_no_cartesian_product(spark, name):
-    assert "CartesianProduct" not in plan(REGISTRY.queries[name](spark, SF))
-
-
 #: Queries that join without a key, each with a side of checked or fixed size: one query, one row of totals, a rule table, a profile.
 SMALL_SIDES = {
     "bm25_topk": "query and totals", "rrf_hybrid": "query and totals", "hybrid_retrieve": "query and totals", "dense_topk": "query", "library_score": "query", "tag_neighbors": "anchor",
@@ -48,7 +43,8 @@ SMALL_SIDES = {
 
 @pytest.mark.parametrize("name", sorted(REGISTRY.queries))
 def test_joins_without_a_key_have_a_small_side(spark, name):
-    assert ("BroadcastNestedLoopJoin" in plan(REGISTRY.queries[name](spark, SF))) == (name in SMALL_SIDES)
+    text = plan(REGISTRY.queries[name](spark, SF))
+    assert "CartesianProduct" not in text and ("BroadcastNestedLoopJoin" in text) == (name in SMALL_SIDES)
 
 
 def test_sides_are_counted(spark):
