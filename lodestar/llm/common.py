@@ -64,7 +64,8 @@ def release(*tables: DataFrame) -> None:
     """Delete tables of `materialize` that nothing reads any more."""
     for table in tables:
         remove(table.sparkSession, table._lodestar_path)
-        _made.remove(table._lodestar_path)
+        if table._lodestar_path in _made:
+            _made.remove(table._lodestar_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
