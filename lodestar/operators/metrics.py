@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestar.functions.text import contains_ws, word_tokens
 
 
+#: Sizes of a run when a percentile is looked for.
+SPAN = 1024
+
+
 def judged(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
     """The ranking with hit."""
     marks = relevant.select("query", "id").distinct().withColumn("_hit", F.lit(True))
@@ -83,9 +87,14 @@ def size_distribution(rows: DataFrame, column: str, oversize: int, orphan: int)
     # Distinct sizes with their counts, not the rows, are gathered.
     counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     total = counted.agg(F.sum("c").alias("n"), F.max("v").alias("max"), F.sum(F.when(F.col("v") > oversize, F.col("c")).otherwise(0)).alias("o"), F.sum(F.when(F.col("v") < orphan, F.col("c")).otherwise(0)).alias("u"))
-    ranked = counted.select("v", F.sum("c").over(Window.orderBy("v")).alias("upto"))
+    # The rank is looked for among runs of SPAN sizes first and then within one run, so no task orders all sizes.
+    runs = counted.groupBy(F.floor(F.col("v") / SPAN).alias("run")).agg(F.sum("c").alias("c"))
     at = F.bround(F.lit(0.95) * (F.col("n") - 1)) + 1
-    p95 = ranked.join(F.broadcast(total)).where(F.col("upto") >= at).agg(F.min("v").alias("p95"))
+    upto = runs.select("run", "c", F.sum("c").over(Window.orderBy("run")).alias("upto")).join(F.broadcast(total)).where(F.col("upto") >= at)
+    first = upto.agg(F.min(F.struct("run", (F.col("upto") - F.col("c")).alias("before"), at.alias("at"))).alias("x")).select("x.*")
+    inside = counted.withColumn("run", F.floor(F.col("v") / SPAN)).join(F.broadcast(first), "run")
+    ranked = inside.select("v", "at", (F.col("before") + F.sum("c").over(Window.partitionBy("run").orderBy("v"))).alias("upto"))
+    p95 = ranked.where(F.col("upto") >= F.col("at")).agg(F.min("v").alias("p95"))
     median = rows.agg(F.percentile(column, 0.5).alias("median"))
     return total.join(F.broadcast(median)).join(F.broadcast(p95)).select("n", "median", "p95", "max", F.round(F.col("o") / F.col("n"), 6).alias("oversize"), F.round(F.col("u") / F.col("n"), 6).alias("orphan"))
 
