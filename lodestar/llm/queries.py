@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, html_wrappers, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
+from lodestar.llm import decontaminate, fill_in_middle, html_wrappers, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -73,3 +73,9 @@ def op9_license_scan(spark, sf_dir):
 def op2_main_text(spark, sf_dir):
     """Main text of every page."""
     return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@_registry.add("op11_fill_in_middle", fill_in_middle.DIGEST_SQL)
+def op11_fill_in_middle(spark, sf_dir):
+    """Form, cuts and digests of every document with its middle last."""
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
