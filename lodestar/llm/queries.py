@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, fill_in_middle, html_wrappers, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
+from lodestar.llm import decontaminate, fill_in_middle, filter_audit, html_wrappers, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -79,3 +79,9 @@ def op2_main_text(spark, sf_dir):
 def op11_fill_in_middle(spark, sf_dir):
     """Form, cuts and digests of every document with its middle last."""
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@_registry.add("op12_filter_audit", filter_audit.AUDIT_SQL)
+def op12_filter_audit(spark, sf_dir):
+    """What each filter removes, in every order and part."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
