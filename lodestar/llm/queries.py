@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, fill_in_middle, filter_audit, html_wrappers, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
+from lodestar.llm import decontaminate, fill_in_middle, filter_audit, html_wrappers, language_id, licenses, line_quality, mixing, quality_classifier, sharding, simhash, token_counts, warc
 from lodestar.registry import Registry, table
 
 _registry = Registry()
@@ -85,3 +85,10 @@ def op11_fill_in_middle(spark, sf_dir):
 def op12_filter_audit(spark, sf_dir):
     """What each filter removes, in every order and part."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_registry.add("op13_language_id")
+def op13_language_id(spark, sf_dir):
+    """Language of every document by models of those that aren't held out; accepted says what the calibration makes of it."""
+    documents = table(spark, sf_dir, "documents")
+    return language_id.identify(documents, *language_id.learn(documents), reject=False)
