@@ -46,19 +46,74 @@ def few(table: DataFrame, rows: int = 1) -> DataFrame:
     return F.broadcast(table)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, written as a table to the checkpoint folder and read again, so that plans of loops stay short.
+#: Tables of this process that `clear` deletes.
+_made: list[str] = []
+#: Keys that `attach` joins by broadcast where it shuffles: the heaviest ones, a fixed number.
+HOT_KEYS = 256
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, which `clear` deletes.
 
     The folder is the session's; one of its own only where none is named, as
     in tests.
     """
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _made.append(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows, written as a table to the checkpoint folder and read again, so that plans of loops stay short."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again._lodestar_path = path
+    return again
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path through the file system that Spark uses for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `cut_lineage` that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table._lodestar_path)
+        if table._lodestar_path in _made:
+            _made.remove(table._lodestar_path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what operators have left in the checkpoint folder; how many tables.
+
+    Results read those tables, so call it when they are written or no longer
+    needed.
+    """
+    gone = len(_made)
+    while _made:
+        delete(spark, _made.pop())
+    return gone
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of left with right, a written table of one row for each key; no null keys.
+
+    right[weight] is as large as the key's rows in left are many. Up to so
+    many rows, right is broadcast. Beyond, its HOT_KEYS heaviest keys are,
+    whatever share of the rows they hold, and all others are shuffled.
+    """
+    if right.count() <= rows:
+        return left.join(F.broadcast(right), key)
+    hot = F.broadcast(right.orderBy(F.desc(weight), key).limit(HOT_KEYS))
+    few = left.join(hot, key)
+    many = left.join(hot.select(key), key, "left_anti").join(right.join(hot.select(key), key, "left_anti").hint("merge"), key)
+    return few.unionByName(many.select(*few.columns))
