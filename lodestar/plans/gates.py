@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestar.functions.text import word_tokens
 from lodestar.operators import coverage as V, generations as N, gold as O, matching as M, metrics as X, silver as S, validity as T
 from lodestar.registry import REGISTRY, table
+from lodestar.session import shared_path
 from lodestar.sources import bronze as B
+from lodestar.sources.versions import VersionedTable
 
 _WORDS = "[x FOR x IN regexp_extract_all({t}, '[^ \\t\\n\\r\\f\\v]+')]"
 
@@ -163,7 +165,10 @@ def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts to append: those whose key isn't stored, each once; repeated ones are no error."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    return O.insert_new(rows.where("value < 40"), rows.where("value >= 40"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+    made = VersionedTable(spark, shared_path(spark, "attempts"), ["user_id", "event_type"])
+    made.append(rows.where("value < 40"), "event_id")
+    made.append(rows.where("value >= 40"), "event_id")
+    return made.read().where("value >= 40").select("user_id", "event_type", "event_id")
 
 
 @REGISTRY.add(
@@ -506,7 +511,10 @@ def generation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "healthy").when(F.col("o_orderstatus") == "P", "failed").otherwise("building")
     ledger = orders.select(F.col("o_custkey").alias("family"), key.alias("id"), status.alias("status"), F.lit("").alias("error"))
     ended = orders.where("o_orderkey % 3 < 2").select(key.alias("id"), F.when(key % 3 == 0, "healthy").otherwise("failed").alias("final"), F.lit("e").alias("error"))  # a third are building still
-    return N.publish(N.finish(ledger, ended), ["family"]).drop("error")
+    made = VersionedTable(spark, shared_path(spark, "generations"), ["family", "id"], ["family"])
+    made.overwrite(N.publish(ledger, ["family"]))
+    made.update(lambda rows: N.publish(N.finish(rows, ended), ["family"]))
+    return made.read().drop("error")
 
 
 @REGISTRY.add("generation_violations", "SELECT o_custkey AS family, count(*) AS n_current FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (o_orderstatus <> 'F') > 0")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.functions.text import STOPWORDS, content_flags, or_query, query_flags, search_tokens
 from lodestar.functions.vectors import cosine
-from lodestar.operators import retrieval as R
+from lodestar.operators import retrieval as R, text_index as T
 from lodestar.registry import REGISTRY, table
+from lodestar.session import exists
 
 _TOKENS = "list_filter(regexp_extract_all(lower({t}), '[a-záéíóúâêîôûãõç]+'), lambda w: len(w) >= 3 AND NOT list_contains([{s}], w))"
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -71,6 +72,45 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", F.round("score", 6).alias("score"))
 
 
+#: Indexes of this process by session and folder: the queries of one folder share one.
+_indexes: dict[tuple[str, str], T.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> T.TextIndex:
+    """The index of all documents, written by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes or not exists(spark, _indexes[key].path):
+        _indexes[key] = T.build(corpus(spark, sf_dir))
+    return _indexes[key]
+
+
+@REGISTRY.add("bm25_indexed", f"WITH {BM25_SQL} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents with the best Okapi score for the first benchmark item, from postings."""
+    best = R.top_k(T.bm25(text_index(spark, sf_dir), question(spark, sf_dir)))
+    return best.select("id", F.round("score", 6).alias("score"))
+
+
+@REGISTRY.add("fts_topk")
+def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents with the best full-text score for the first benchmark item, from postings of stems."""
+    return R.top_k(T.full_text(text_index(spark, sf_dir), question(spark, sf_dir)))
+
+
+@REGISTRY.add(
+    "postings",
+    f"""
+    WITH w AS (SELECT doc_id AS id, [x FOR x IN regexp_extract_all(lower(text), '[a-záéíóúâêîôûãõç]+')] AS words FROM documents),
+    p AS (SELECT id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w)
+    SELECT id, word, count(*)::INTEGER AS tf, min(place)::INTEGER AS first_place, sum(place)::BIGINT AS places FROM p WHERE len(word) >= 3 AND NOT list_contains([{STOP}], word) GROUP BY 1, 2
+    """,
+)
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of all documents: how often and where each has a word."""
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda t, p: t + p)
+    return text_index(spark, sf_dir).postings.select("id", "word", "tf", F.col("positions")[0].alias("first_place"), total.alias("places"))
+
+
 @REGISTRY.add("search_tokens", f"SELECT doc_id, len(w) AS n_tokens, array_to_string(list_slice(list_distinct_ordered, 1, 8), ' | ') AS or_query FROM (SELECT doc_id, w, [x FOR x, i IN w IF list_position(w, x) = i] AS list_distinct_ordered FROM (SELECT doc_id, {tokens_sql('text')} AS w FROM documents))")
 def tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search tokens of every document, and its first terms as an OR query."""

@@ -8,7 +8,8 @@ from lodestar.functions.ids import documents_hash
 from lodestar.functions.text import slugify, trigram_overlap, word_tokens
 from lodestar.operators import eligibility as E, gold as O, silver as S
 from lodestar.registry import REGISTRY, table
-from lodestar.session import few
+from lodestar.session import few, shared_path
+from lodestar.sources.versions import VersionedTable
 
 _FOLD_SQL = """
 WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '') AS ps FROM documents),
@@ -215,7 +216,10 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer")
     stored = people.where("c_custkey % 4 > 0 OR c_custkey % 3 = 0").select("c_custkey", F.lit("old").alias("name"), F.when(key % 5 == 0, "{}").otherwise('{"o":1}').alias("provenance"))
     new = people.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("name"), F.when(key % 2 == 0, '{"n":1}').otherwise("{}").alias("provenance"))
-    return O.upsert(stored, new, ["c_custkey"], ["provenance"])
+    made = VersionedTable(spark, shared_path(spark, "people"), ["c_custkey"])
+    made.overwrite(stored)
+    made.upsert(new, ["provenance"])
+    return made.read()
 
 
 @REGISTRY.add("insert_ignore", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')")

@@ -78,6 +78,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return again
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a path through the file system that Spark uses for it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
