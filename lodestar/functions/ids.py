@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from urllib.parse import uses_netloc
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lodestar.session import cut_lineage, small
 
 #: Query parameters that don't change a page, hosts that announce but are no source, hosts with a reader of their own.
 TRACKING = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid")
@@ -96,7 +99,34 @@ def record_hash(*fields: Column) -> Column:
     return F.concat(F.lit("md5:"), F.md5(F.concat_ws("\x1f", *parts)))
 
 
-def documents_hash(rows, group: list[str], name: Column, content: Column):
-    """One hash per group of documents, whatever their order: MD5 of the sorted MD5 of each."""
+#: Hashes that are put together in one row on average, at most.
+LEAF = 1024
+
+
+def documents_hash(rows: DataFrame, group: list[str], name: Column, content: Column) -> DataFrame:
+    """One hash per group of documents, whatever their order and partitioning, and how many they are.
+
+    It is the MD5 of the sorted MD5 of each. Of groups with over LEAF different
+    documents those hashes are put together by their first digits, as many as
+    make LEAF a row, and what comes of them by ever fewer digits. Documents
+    that are there more than once come once, with their count.
+    """
     one = F.md5(F.concat_ws("\x1f", F.coalesce(name.cast("string"), F.lit("")), F.coalesce(content, F.lit(""))))
-    return rows.groupBy(*group).agg(F.md5(F.array_join(F.array_sort(F.collect_list(one)), "|")).alias("source_hash"), F.count("*").alias("n_documents"))
+    named = [F.col(c).alias(f"g{k}") for k, c in enumerate(group)]
+    keys = [f"g{k}" for k in range(len(group))]
+    counted = cut_lineage(rows.select(*named, one.alias("hash")).groupBy(*keys, "hash").agg(F.count("*").alias("n")))
+    sizes = cut_lineage(counted.groupBy(*keys).agg(F.sum("n").alias("n_documents"), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.count("*") / LEAF))).cast("int").alias("depth")))
+    deepest = sizes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
+    deep = sizes.select(*keys, "depth").alias("s")
+    joined = counted.join(small(deep), same(counted, deep))
+    said = F.when(F.col("n") > 1, F.concat_ws("x", "hash", "n")).otherwise(F.col("hash"))
+    level = joined.select(*(counted[k] for k in keys), F.substring("hash", F.lit(1), F.col("depth")).alias("prefix"), said.alias("said"))
+    together = F.md5(F.array_join(F.array_sort(F.collect_list("said")), "|"))
+    level = level.groupBy(*keys, "prefix").agg(together.alias("said"))
+    for digits in range(deepest, 0, -1):
+        here = level.where(F.length("prefix") == digits).select(*keys, F.expr(f"substring(prefix, 1, {digits - 1})").alias("prefix"), F.concat("prefix", "said").alias("said"))
+        level = here.groupBy(*keys, "prefix").agg(together.alias("said")).unionByName(level.where(F.length("prefix") < digits))
+    told = sizes.select(*keys, "n_documents")
+    both = level.join(told, same(level, told))
+    return both.select(*(level[k].alias(c) for k, c in zip(keys, group)), F.col("said").alias("source_hash"), "n_documents")

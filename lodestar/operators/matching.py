@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.vectors import dot, unit
+from lodestar.session import against
 
 #: Least affinity, boost of a shared sector, excerpts shown, matches shown, weight of a similar neighbour.
 FLOOR, SECTOR_BOOST, EXCERPTS, TOP, ALPHA = 0.52, 1.1, 3, 8, 0.05
-#: Chunks of one profile that are sent to all tasks; a profile has a few dozen.
+#: Chunks of one profile up to which they are sent to all tasks; a profile has a few dozen.
 PROFILE_CHUNKS = 2000
 
 
@@ -16,13 +17,12 @@ def pair_scores(company: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows (entity, company_chunk, entity_chunk, similarity) of one profile's chunks with all entity chunks.
 
     company: (company_chunk, vector, origin); entities: (entity, entity_chunk,
-    vector). The profile's chunks are checked to be few before they are sent.
+    vector). The profile's chunks are sent to all tasks if they are few, and
+    are met block by block otherwise.
     """
-    few = company.select("company_chunk", "origin", unit(F.col("vector")).alias("cv"))
-    if few.limit(PROFILE_CHUNKS + 1).count() > PROFILE_CHUNKS:
-        raise ValueError(f"a profile has more than {PROFILE_CHUNKS} chunks")
+    own = company.select("company_chunk", "origin", unit(F.col("vector")).alias("cv"))
     units = entities.select("entity", "entity_chunk", unit(F.col("vector")).alias("ev"))
-    return units.join(F.broadcast(few)).select("entity", "company_chunk", "origin", "entity_chunk", F.round(dot(F.col("cv"), F.col("ev")), 9).alias("similarity"))
+    return against(units, own, PROFILE_CHUNKS).select("entity", "company_chunk", "origin", "entity_chunk", F.round(dot(F.col("cv"), F.col("ev")), 9).alias("similarity"))
 
 
 def affinity(pairs: DataFrame) -> DataFrame:

@@ -6,13 +6,15 @@ Scores without a denominator are null.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.text import contains_ws, word_tokens
 
 
-#: Sizes of a run when a percentile is looked for.
-SPAN = 1024
+#: Sizes of a run when a percentile is looked for, and bins of a range.
+SPAN, BINS = 1024, 4096
 
 
 def judged(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -22,8 +24,11 @@ def judged(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
 
 
 def rank_scores(marked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Per query: precision over what is shown of the first k, recall, hit, reciprocal rank and NDCG of binary gains."""
-    wanted = relevant.groupBy("query").agg(F.countDistinct("id").alias("n_relevant"))
+    """Per query: precision over what is shown of the first k, recall, hit, reciprocal rank and NDCG of binary gains.
+
+    relevant has the relevant rows (query, id), or how many they are (query, n_relevant).
+    """
+    wanted = relevant if "n_relevant" in relevant.columns else relevant.groupBy("query").agg(F.countDistinct("id").alias("n_relevant"))
     inside = F.col("rank") <= k
     gain = F.sum(F.when(inside & F.col("hit"), 1 / F.log2(F.col("rank") + 1)))
     g = marked.groupBy("query").agg(
@@ -77,9 +82,47 @@ def matches_expected(file: Column, section: Column, want_file: Column, want_sect
     return (file == want_file) & (want_section.isNull() | (section == want_section))
 
 
+def percentiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Percentiles by linear interpolation, found by histograms; nulls and what is no finite number don't count, of none all are null.
+
+    The range of values is cut in BINS, and a rank's bin in BINS again, until
+    its values are all alike. A round reads the rows once for all ranks and
+    brings BINS rows for each to the driver, at most.
+    """
+    v = F.col(column).cast("double")
+    held = rows.select(v.alias("v")).where(F.abs(v) < float("inf"))
+    n, low, high = held.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = {s: s * (n - 1) for s in shares}
+    found: dict[int, float] = {}
+    # Ranks that are looked for, with the range of their bin and how many values lie before it.
+    asked = {k: (low, high, 0) for s in places.values() for k in (math.floor(s), math.ceil(s))}
+    while asked:
+        for rank in [k for k, (low, high, _) in asked.items() if low == high]:
+            found[rank] = asked.pop(rank)[0]
+        spans = sorted({(low, high) for low, high, _ in asked.values()})
+        if not spans:
+            break
+        one = lambda low, high: F.least(F.lit(BINS - 1), F.coalesce(F.floor(F.try_divide(F.col("v") / 2 - low / 2, F.lit(high / 2 - low / 2)) * BINS), F.when(F.col("v") > low, BINS - 1).otherwise(0))).cast("int")
+        cells = F.array_compact(F.array(*[F.when(F.col("v").between(low, high), F.struct(F.lit(k).alias("span"), one(low, high).alias("bin"))) for k, (low, high) in enumerate(spans)]))
+        told = held.select("v", F.explode(cells).alias("c")).groupBy("c.span", "c.bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        by_span: dict[int, list] = {}
+        for row in sorted(told, key=lambda r: (r["span"], r["bin"])):
+            by_span.setdefault(row["span"], []).append(row)
+        for rank, (low, high, before) in list(asked.items()):
+            for row in by_span[spans.index((low, high))]:
+                if before + row["n"] > rank:
+                    asked[rank] = (row["low"], row["high"], before)
+                    break
+                before += row["n"]
+    return [found[math.floor(k)] + (found[math.ceil(k)] - found[math.floor(k)]) * (k - math.floor(k)) for k in places.values()]
+
+
 def latencies(rows: DataFrame, column: str) -> DataFrame:
     """Mean, median and 95th percentile by linear interpolation."""
-    return rows.agg(F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("p50"), F.percentile(column, 0.95).alias("p95"))
+    p50, p95 = percentiles(rows, column, [0.5, 0.95])
+    return rows.agg(F.avg(column).alias("mean")).select("mean", F.lit(p50).cast("double").alias("p50"), F.lit(p95).cast("double").alias("p95"))
 
 
 def size_distribution(rows: DataFrame, column: str, oversize: int, orphan: int) -> DataFrame:
@@ -95,8 +138,8 @@ def size_distribution(rows: DataFrame, column: str, oversize: int, orphan: int)
     inside = counted.withColumn("run", F.floor(F.col("v") / SPAN)).join(F.broadcast(first), "run")
     ranked = inside.select("v", "at", (F.col("before") + F.sum("c").over(Window.partitionBy("run").orderBy("v"))).alias("upto"))
     p95 = ranked.where(F.col("upto") >= F.col("at")).agg(F.min("v").alias("p95"))
-    median = rows.agg(F.percentile(column, 0.5).alias("median"))
-    return total.join(F.broadcast(median)).join(F.broadcast(p95)).select("n", "median", "p95", "max", F.round(F.col("o") / F.col("n"), 6).alias("oversize"), F.round(F.col("u") / F.col("n"), 6).alias("orphan"))
+    median = F.lit(percentiles(rows, column, [0.5])[0]).cast("double").alias("median")
+    return total.select("*", median).join(F.broadcast(p95)).select("n", "median", "p95", "max", F.round(F.col("o") / F.col("n"), 6).alias("oversize"), F.round(F.col("u") / F.col("n"), 6).alias("orphan"))
 
 
 def section_coverage(chunks: DataFrame) -> DataFrame:

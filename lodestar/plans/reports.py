@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lodestar.functions.vectors import cosine
 from lodestar.operators import catalog as C, coverage as V, metrics as M, validity as T
+from lodestar.operators.nearest import nearest
 from lodestar.registry import REGISTRY, table
-from lodestar.session import few
+from lodestar.session import small
 
 NOW = "2024-01-31 00:00:00"
-#: Query vectors that are sent to all tasks at most; beyond, rankings are to be taken in blocks.
-QUERY_VECTORS = 20_000
 
 
 def now():
@@ -250,13 +248,15 @@ def theme_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The 20 nearest of each vector whose id is divisible by 20, with hit for its own label, and how many others have that label."""
     e = table(spark, sf_dir, "embeddings")
-    queries = few(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("wanted")), QUERY_VECTORS)
-    pairs = e.join(queries, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("id"), "label", "wanted", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    from pyspark.sql import Window
-
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 20")
-    return ranked.select("query", "id", "rank", "score"), pairs.where("label = wanted").select("query", "id")
+    base = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = nearest(base.where("id % 20 = 0"), base, 20, same=True).select(F.col("src").alias("query"), F.col("dst").alias("id"), F.col("weight").alias("score"))
+    labels = e.select(F.col("vec_id").alias("id"), "label")
+    marked = near.join(labels, "id").join(labels.select(F.col("id").alias("query"), F.col("label").alias("wanted")), "query")
+    ranking = marked.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("rank"), "score", F.coalesce(F.col("label") == F.col("wanted"), F.lit(False)).alias("hit"))
+    sizes = small(labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")))
+    return ranking, labels.where("id % 20 = 0").join(sizes, "label").where("n_relevant > 0").select(F.col("id").alias("query"), "n_relevant")
 
 
 RANKING_SQL = """
@@ -275,7 +275,7 @@ nr AS (SELECT query, count(*) FILTER (rel) AS n FROM p GROUP BY 1)
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of dense rankings, a query for each id that is divisible by 20; vectors of a query's label are relevant."""
     ranking, relevant = _ranking(spark, sf_dir)
-    got = M.rank_scores(M.judged(ranking, relevant), relevant, 10)
+    got = M.rank_scores(ranking, relevant, 10)
     return got.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "reciprocal_rank", "ndcg")})
 
 
@@ -287,8 +287,6 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ndcg3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded NDCG of rankings against one by id."""
-    from pyspark.sql import Window
-
     ranking, _ = _ranking(spark, sf_dir)
     few = ranking.where("rank <= 8")
     expected = few.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy("id")).alias("rank"))
@@ -298,15 +296,15 @@ def ndcg3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("false_positives", f"WITH {RANKING_SQL} SELECT query, count(*) FILTER (rank <= 8 AND score >= 0.25 AND NOT rel) AS false_positives FROM r GROUP BY 1")
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irrelevant vectors among the shown ones."""
-    ranking, relevant = _ranking(spark, sf_dir)
-    return M.false_positives(ranking, ranking.join(relevant, ["query", "id"], "left_anti"), 8, 0.25)
+    ranking, _ = _ranking(spark, sf_dir)
+    return M.false_positives(ranking, ranking.where("not hit"), 8, 0.25)
 
 
 @REGISTRY.add("unjudged", f"WITH {RANKING_SQL} SELECT query, count(*) FILTER (rank <= 8 AND NOT rel) AS unjudged FROM r GROUP BY 1")
 def unjudged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shown vectors that no judgement is for."""
-    ranking, relevant = _ranking(spark, sf_dir)
-    return M.unjudged(ranking, relevant, 8)
+    ranking, _ = _ranking(spark, sf_dir)
+    return M.unjudged(ranking, ranking.where("hit"), 8)
 
 
 @REGISTRY.add("latency_percentiles", "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")

@@ -39,6 +39,24 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
 
 
+def against(left: DataFrame, right: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """All rows of left with all rows of right, which are a query's.
+
+    Up to so many rows, right is broadcast. Beyond, it is dealt to blocks of
+    about that size, and left's rows, in parts, meet one block after another by
+    a join on block and part, so that no task holds more of either.
+    """
+    n = right.count()
+    if n <= rows:
+        return left.join(F.broadcast(right))
+    blocks, parts = -(-n // rows), max(1, -(-left.count() // rows))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda table, k: F.pmod(F.xxhash64(*table.columns), F.lit(k)).cast("int")
+    a = left.withColumn("__part", dealt(left, parts)).withColumn("__block", every(blocks))
+    b = right.withColumn("__block", dealt(right, blocks)).withColumn("__part", every(parts))
+    return a.join(b.hint("merge"), ["__block", "__part"]).drop("__block", "__part")
+
+
 def few(table: DataFrame, rows: int = 1) -> DataFrame:
     """The table, marked for broadcast; an error if it has more than so many rows, as a query or a rule table hasn't."""
     if table.limit(rows + 1).count() > rows:

@@ -231,12 +231,16 @@ def test_matching(spark, one):
     centres = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["a", "c"])], "id int, themes array<string>")
     assert rows(M.partners(centres, F.array(F.lit("a"))), "id") == [(1,), (3,)] and M.no_matches(centres).count() == 0
     assert tuple(M.freshness(centres.withColumn("updated", F.col("id")), centres).first()) == (3, 3, 3)
-    with pytest.raises(ValueError):
-        M.PROFILE_CHUNKS, saved = 1, M.PROFILE_CHUNKS
-        try:
-            M.pair_scores(spark.createDataFrame([(1, [1.0], "p"), (2, [1.0], "p")], "company_chunk int, vector array<double>, origin string"), spark.createDataFrame([(1, 1, [1.0])], "entity int, entity_chunk int, vector array<double>"))
-        finally:
-            M.PROFILE_CHUNKS = saved
+
+
+def test_profiles_of_many_chunks(spark, monkeypatch):
+    company = spark.range(2001).select(F.col("id").alias("company_chunk"), F.array(F.col("id") + 1.0, F.lit(5.0)).alias("vector"), F.lit("p").alias("origin"))
+    entities = spark.range(40).select((F.col("id") % 4).alias("entity"), F.col("id").alias("entity_chunk"), F.array(F.lit(3.0), F.col("id") * 1.0 + 1).alias("vector"))
+    many = M.pair_scores(company, entities)
+    assert many.count() == 2001 * 40
+    got = sorted(map(str, M.affinity(many).select("entity", F.round("affinity", 7), "best").collect()))
+    monkeypatch.setattr(M, "PROFILE_CHUNKS", 5000)
+    assert got == sorted(map(str, M.affinity(M.pair_scores(company, entities)).select("entity", F.round("affinity", 7), "best").collect()))
 
 
 def test_validity(spark):
