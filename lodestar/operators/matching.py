@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.vectors import dot, unit
 from lodestar.session import against
+from lodestar.sources.versions import Conflict, VersionedTable
 
 #: Least affinity, boost of a shared sector, excerpts shown, matches shown, weight of a similar neighbour.
 FLOOR, SECTOR_BOOST, EXCERPTS, TOP, ALPHA = 0.52, 1.1, 3, 8, 0.05
@@ -120,3 +123,20 @@ def no_matches(entities: DataFrame) -> DataFrame:
 def freshness(entities: DataFrame, chunks: DataFrame, moment: str = "updated") -> DataFrame:
     """One row that changes when a snapshot is out of date."""
     return entities.agg(F.count("*").alias("n"), F.max(moment).alias("newest")).join(F.broadcast(chunks.agg(F.count("*").alias("n_chunks"))))
+
+
+def snapshot(store: VersionedTable, probe: DataFrame, load: Callable[[], DataFrame]) -> DataFrame:
+    """Prepared rows that are kept under a probe's value (its one row, as `freshness` gives): stored ones if it is the same, else loaded and stored anew.
+
+    Readers of an older snapshot keep it. Of two that load at once one stores,
+    and both read what it stored, if their probes agree.
+    """
+    value = probe.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).first()["value"]
+    for _ in range(2):
+        if store.manifest()["notes"].get("probe") == value:
+            return store.read()
+        try:
+            store.overwrite(load(), probe=value)
+        except Conflict:
+            continue
+    return store.read()

@@ -313,6 +313,18 @@ def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.partners(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("themes")), F.array(F.lit("ring"), F.lit("small"))).select("id")
 
 
+@REGISTRY.add("match_snapshot", "SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS squares FROM embeddings")
+def match_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared vectors, kept as a table under the value of a probe; the second call takes what the first has stored."""
+    rows = table(spark, sf_dir, "embeddings")
+    store = VersionedTable(spark, shared_path(spark, "snapshot"), ["vec_id"])
+    probe = M.freshness(table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "updated"), rows)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    for _ in range(2):
+        kept = M.snapshot(store, probe, lambda: rows.select("vec_id", "label", F.round(squares, 6).alias("squares")))
+    return kept
+
+
 @REGISTRY.add("freshness", "SELECT (SELECT count(*) FROM orders) AS n, (SELECT max(o_orderdate) FROM orders) AS newest, (SELECT count(*) FROM embeddings) AS n_chunks")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row that changes when a snapshot is out of date."""

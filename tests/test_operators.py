@@ -259,6 +259,11 @@ def test_graph(spark):
     edges = spark.createDataFrame([(1, 2, "t", 1.0), (2, 3, "t", 1.0), (3, 1, "t", 0.2), (5, 6, "t", 1.0)], "src long, dst long, type string, weight double")
     nodes, inside = G.picture(edges, spark.createDataFrame([(1,)], "node long"), 2, nodes=2)
     assert rows(nodes) == [(1, 0), (2, 1)] and rows(inside, "src", "dst") == [(1, 2)]
+    star = spark.createDataFrame([(9, 1, "t", 1.0), (1, 4, "b", 1.0), (1, 3, "t", 1.0), (3, 9, "t", 1.0), (9, 3, "t", 2.0), (4, 7, "t", 1.0), (4, 6, "a", 1.0), (7, 8, "t", 1.0), (1, 5, "t", 0.1), (6, 7, "t", 1.0)], "src long, dst long, type string, weight double")
+    met, used = G.discovered(star, 1, 2, 60, 0.5)
+    assert rows(met, "place", "node", "distance") == [(0, 1, 0), (1, 4, 1), (2, 3, 1), (3, 9, 1), (4, 6, 2), (5, 7, 2)]
+    assert rows(used, "src", "dst", "type") == [(1, 3, "t"), (1, 4, "b"), (3, 9, "t"), (4, 6, "a"), (4, 7, "t"), (9, 1, "t")]
+    assert rows(G.discovered(star, 1, 2, 3, 0.5)[0], "node") == [(1,), (3,), (4,)] and rows(G.discovered(star, 99, 2)[0], "node") == [(99,)]
     steps = spark.createDataFrame([(1, 0, 2, 1), (1, 1, 1, 9)], "path_id int, step int, at long, to long")
     assert rows(G.enrich_paths(steps, edges), "step", "weight", "type") == [(0, 1.0, "t"), (1, 1.0, None)]
     paths = spark.createDataFrame([([1, 2], 1, 2), ([1, 2], 1, 2), ([1, 3], 1, 3)], "nodes array<long>, hops int, goal long")

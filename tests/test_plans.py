@@ -37,7 +37,7 @@ def test_row_operators_do_not_shuffle(spark, name):
 SMALL_SIDES = {
     "bm25_topk": "query and totals", "rrf_hybrid": "query and totals", "hybrid_retrieve": "query and totals", "dense_topk": "query", "library_score": "query", "tag_neighbors": "anchor",
     "degree_centrality": "totals", "size_distribution": "totals", "freshness": "totals", "snapshot_equal": "totals", "eligibility_verdict": "rules", "eligibility_reasons": "rules", "eligibility_trail": "rules",
-    "match_funnel": "profile", "maxsim_affinity": "profile", "maxsim_excerpts": "profile", "retrieval_metrics": "queries", "ndcg3": "queries", "false_positives": "queries", "unjudged": "queries", "quote_resolve": "names of sources",
+    "match_funnel": "profile", "maxsim_affinity": "profile", "maxsim_excerpts": "profile", "quote_resolve": "names of sources",
 }
 
 

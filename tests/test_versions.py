@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators import matching as M
 from lodestar.sources.versions import Conflict, VersionedTable
 
 SCHEMA = "id long, name string, extra string"
@@ -101,3 +102,26 @@ def test_empty(spark, tmp_path):
     assert table.read().count() == 0
     table.upsert(spark.createDataFrame([], SCHEMA))
     assert table.version() == 2 and table.read().count() == 0
+
+
+def test_snapshots_by_probe(spark, tmp_path):
+    store, loads = VersionedTable(spark, str(tmp_path / "s"), ["id"]), []
+
+    def load(name):
+        loads.append(name)
+        return spark.createDataFrame([(1, name, "")], SCHEMA)
+
+    probe = lambda n: spark.createDataFrame([(n, None)], "n int, newest date")
+    old = M.snapshot(store, probe(1), lambda: load("a"))
+    assert M.snapshot(store, probe(1), lambda: load("b")).first()["name"] == "a"
+    assert M.snapshot(store, probe(2), lambda: load("c")).first()["name"] == "c" and old.first()["name"] == "a" and loads == ["a", "c"]
+
+    def beaten():
+        VersionedTable(spark, store.root, ["id"]).overwrite(spark.createDataFrame([(1, "faster", "")], SCHEMA), probe=store_probe)
+        return load("late")
+
+    store_probe = probe(3).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
+    slow = VersionedTable(spark, store.root, ["id"])
+    version = store.version()
+    slow.version = lambda calls=[version, version]: calls.pop() if calls else VersionedTable(spark, store.root, ["id"]).version()
+    assert M.snapshot(slow, probe(3), beaten).first()["name"] == "faster" and store.version() == version + 1
