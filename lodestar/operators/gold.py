@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.functions.text import fold, norm_ws, singular
+from lodestar.session import cut_lineage, small
 
 #: States, mechanisms, and the fallback of sectors with the most of an entity.
 STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
@@ -147,13 +148,33 @@ def ticket(low: Column, high: Column) -> tuple[Column, Column]:
     return number(low), number(high)
 
 
+def _rare_hits(asked: DataFrame, blocks: DataFrame, words: Column) -> DataFrame:
+    """Quotes (quote_id, subject, _q) beside the blocks (subject, doc, page, idx, _t) of their subject that have the quote's rarest word.
+
+    Postings are kept of words that quotes have, and name a block by a digest.
+    The word of a quote that the fewest blocks have is looked up, and a text is
+    read again only for what comes of that.
+    """
+    name = F.sha2(F.concat_ws("\x1f", "subject", F.coalesce(F.col("doc").cast("string"), F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce(F.col("idx").cast("string"), F.lit("")), "_t"), 256)
+    asked, named = asked.select("quote_id", "subject", "_q"), blocks.select("subject", "doc", "page", "idx", "_t", name.alias("_block"))
+    each = asked.select("quote_id", "subject", F.explode(F.array_distinct(words)).alias("word"))
+    told = named.select("subject", "_block", F.explode(F.array_distinct(F.split("_t", " "))).alias("word"))
+    postings = cut_lineage(told.join(each.select("subject", "word").distinct(), ["subject", "word"], "left_semi").distinct())
+    counts = postings.groupBy("subject", "word").agg(F.count("*").alias("n"))
+    rare = each.join(counts, ["subject", "word"], "left").groupBy("quote_id", "subject").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m"))
+    pairs = rare.where("m.n > 0").select("quote_id", "subject", "m.word").join(postings, ["subject", "word"]).select("quote_id", "subject", "_block")
+    found = small(cut_lineage(pairs.distinct()))
+    return named.drop("subject").join(found, "_block").join(asked, ["quote_id", "subject"])
+
+
 def resolve_quotes(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Where quotes (quote_id, subject, quote) stand in blocks (subject, doc, page, idx, text).
 
     Rows (quote_id, quality, doc, page, n_candidates): exact on one page,
     document_only within one document, else unresolved. The search is within a
     subject. A quote of three words or more is only looked for in blocks that
-    have its longest word but for the first and last, which may be cut.
+    have its longest word but for the first and last, which may be cut, or its
+    rarest one if there are over QUOTES quotes. A quote_id has one quote.
     """
     words = F.split("_q", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
@@ -167,9 +188,9 @@ def resolve_quotes(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
         of_subject = F.broadcast(keyed.groupBy("subject").agg(F.collect_set("_key").alias("_keys")))
         hit = spaced.join(of_subject, "subject").withColumn("_key", F.explode(F.array_intersect(F.split("_t", " "), "_keys"))).drop("_keys")
         keyed, bare = F.broadcast(keyed), F.broadcast(bare)
+        long_ = keyed.join(hit, ["subject", "_key"]).where(held)
     else:
-        hit = spaced.withColumn("_key", F.explode(F.array_distinct(F.split("_t", " "))))
-    long_ = keyed.join(hit, ["subject", "_key"]).where(held)
+        long_ = _rare_hits(keyed.drop("_key"), spaced, inner).where(held)
     short = bare.join(spaced, "subject").where(held)
     columns = ["quote_id", "doc", "page", "idx"]
     found = long_.select(*columns).unionByName(short.select(*columns))

@@ -166,7 +166,7 @@ def test_silver_gates(spark, one):
     assert one(bad, why) == (None, "invalid_constraint")
 
 
-def test_gold(spark, one):
+def test_gold(spark, one, monkeypatch):
     A = lambda *x: F.array(*map(F.lit, x))
     assert one(O.normalize_tags(A(" IA ", "Projetos", "TRL 5", "Lei nº 10", "inovação", "ia", "energia solar"), {"ia": "inteligência artificial"})) == ["inteligência artificial", "energia solar"]
     assert one(O.split_agencies(F.lit("MCTI / finep e FAPs"), {"finep": "FINEP"})) == ["MCTI", "FINEP", "FAPs"]
@@ -184,6 +184,11 @@ def test_gold(spark, one):
     quotes = spark.createDataFrame([("q1", "s", "alpha  beta"), ("q2", "s", "twice"), ("q3", "s", "spread"), ("q4", "s", "none"), ("q5", "s", "bare")], "quote_id string, subject string, quote string")
     blocks = spark.createDataFrame([("s", "d", 1, 0, "x alpha\nbeta"), ("s", "d", 1, 1, "twice"), ("s", "e", 1, 0, "twice"), ("s", "d", 2, 2, "spread"), ("s", "d", 3, 3, "spread"), ("s", "d", None, 4, "bare"), ("s", "d", None, 5, "bare too")], "subject string, doc string, page int, idx int, text string")
     assert rows(O.resolve_quotes(quotes, blocks), "quote_id", "quality", "page") == [("q1", "exact", 1), ("q2", "unresolved", None), ("q3", "document_only", None), ("q4", "unresolved", None), ("q5", "document_only", None)]
+    more = quotes.union(spark.createDataFrame([("q6", "s", "one  two three four"), ("q7", "s", "wo x yz"), ("q8", "t", "one two three"), ("q9", "s", "one gone three"), ("q10", "s", " ")], quotes.schema))
+    texts = [("s", "f", 1, 0, "says one two\nthree four"), ("s", "f", 1, 0, "says one two\nthree four"), ("s", "g", 2, 1, "two x yz"), ("s", "g", 2, None, "one two"), ("t", "g", None, 0, "one two three"), ("s", None, 1, 1, "and two three one")]
+    few = rows(O.resolve_quotes(more, blocks.union(spark.createDataFrame(texts, blocks.schema))))
+    monkeypatch.setattr(O, "QUOTES", 0)
+    assert rows(O.resolve_quotes(more, blocks.union(spark.createDataFrame(texts, blocks.schema)))) == few and ("q6", "exact", "f", 1, 2) in few
     overlay = O.review_overlay(spark.createDataFrame([(1, "unknown", None), (2, "stated", "a"), (3, "stated", "b")], "claim_id int, state string, value string"), spark.createDataFrame([(1, "mark_unknown", None, 1), (1, "correct", "new", 2), (2, "mark_unknown", None, 1)], "claim_id int, decision string, corrected string, created int"))
     assert rows(overlay) == [(1, "stated", "new"), (2, "unknown", None), (3, "stated", "b")]
     states = F.array(F.struct(F.lit("a").alias("field"), F.lit("stated").alias("state")), F.struct(F.lit("b").alias("field"), F.lit("unknown").alias("state")))
