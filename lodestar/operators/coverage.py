@@ -121,7 +121,12 @@ def unknown_themes(rows: DataFrame, vocabulary: DataFrame, examples: int = 10) -
     """Themes (source, example, themes joined by ;) outside a vocabulary (theme): count, sources and some examples in order."""
     one = rows.select("source", "example", F.explode(F.split("themes", ";")).alias("t")).withColumn("theme", F.lower(norm_ws(F.col("t")))).where("theme <> ''")
     other = one.join(small(vocabulary.select("theme")), "theme", "left_anti")
-    return other.groupBy("theme").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.slice(F.array_sort(F.collect_set("example")), 1, examples).alias("examples"))
+    totals = other.groupBy("theme").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
+    # Only the first examples of a theme are gathered.
+    first = F.row_number().over(Window.partitionBy("theme").orderBy("example"))
+    shown = other.where("example is not null").select("theme", "example").distinct().withColumn("_n", first).where(F.col("_n") <= examples)
+    told = shown.groupBy("theme").agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    return totals.join(told, "theme", "left").select("theme", "n", "n_sources", F.coalesce("examples", F.slice(F.array(F.lit("")), 1, 0)).alias("examples"))
 
 
 def without_themes(rows: DataFrame, limit: int) -> DataFrame:

@@ -162,10 +162,11 @@ def multiset_recall(output: DataFrame, expected: DataFrame, keys: list[str]) ->
 
 def prefix_recall(output: DataFrame, expected: DataFrame, key: str, length: int = 30) -> DataFrame:
     """Share of expected headings whose start is in one of the output's."""
-    e = expected.select(key, F.monotonically_increasing_id().alias("_i"), F.lower(F.substring("text", 1, length)).alias("want"))
-    o = output.select(key, F.lower("text").alias("have"))
-    hits = e.join(o, key, "left").groupBy(key, "_i").agg(F.max(F.coalesce(F.contains("have", "want"), F.lit(False))).alias("hit"))
-    return hits.groupBy(key).agg(F.avg(F.col("hit").cast("int")).alias("recall"))
+    # Headings that repeat are compared once.
+    e = expected.groupBy(key, F.lower(F.substring("text", 1, length)).alias("want")).agg(F.count("*").alias("n"))
+    o = output.select(key, F.lower("text").alias("have")).distinct()
+    hits = e.join(o, key, "left").groupBy(key, "want", "n").agg(F.max(F.coalesce(F.contains("have", "want"), F.lit(False))).alias("hit"))
+    return hits.groupBy(key).agg((F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("recall"))
 
 
 def presence(rows: DataFrame) -> DataFrame:

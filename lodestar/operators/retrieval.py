@@ -96,10 +96,10 @@ def rerank(ranked: DataFrame, scores: DataFrame | None, pool: int = CANDIDATES)
     """
     if scores is None:
         return ranked
-    joined = ranked.join(scores, "id", "left")
-    inside = F.col("rank") <= pool
-    order = Window.orderBy(~inside, F.when(inside, -F.coalesce("rescore", F.lit(float("-inf")))), "rank")
-    return joined.withColumn("rank", F.row_number().over(order)).drop("rescore")
+    # Ranks are 1, 2, ...: the pool has as many rows as its name says, and what is behind it stays as it is.
+    inside = ranked.where(F.col("rank") <= pool).join(scores, "id", "left")
+    order = Window.orderBy(-F.coalesce("rescore", F.lit(float("-inf"))), "rank")
+    return inside.withColumn("rank", F.row_number().over(order)).select(*ranked.columns).unionByName(ranked.where(F.col("rank") > pool))
 
 
 def lexical_score(query: Column, text: Column) -> Column:

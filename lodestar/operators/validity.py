@@ -115,10 +115,11 @@ def reopened(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     rows: (keys, detected, observed, seq, input_fingerprint, status).
     """
-    before = Window.partitionBy(*keys).orderBy("detected", "observed", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    solved = F.collect_set(F.when(F.lower(F.trim("status")) == "resolved", F.col("input_fingerprint"))).over(before)
-    said = rows.where("trim(input_fingerprint) <> ''").withColumn("_solved", solved)
-    return said.where((F.size("_solved") > 0) & ~F.array_contains("_solved", F.col("input_fingerprint"))).drop("_solved")
+    before = lambda *by: Window.partitionBy(*by).orderBy("detected", "observed", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    # Running counts, so that no row holds what came before it.
+    solved = F.count_if(F.lower(F.trim("status")) == "resolved")
+    said = rows.where("trim(input_fingerprint) <> ''").withColumns({"_any": solved.over(before(*keys)), "_same": solved.over(before(*keys, "input_fingerprint"))})
+    return said.where("_any > 0 and _same = 0").drop("_any", "_same")
 
 
 def prevented(exceptions: DataFrame, reviews: DataFrame, as_of: Column) -> DataFrame:

@@ -79,7 +79,8 @@ class VersionedTable:
     def _write(self, rows: DataFrame) -> dict[str, list[str]]:
         """Write rows by bucket to a new folder; the folders of the buckets that have some."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        # A bucket that has most rows, as of one parent, is written by several tasks.
+        rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         return {n.removeprefix("_bucket="): [f"{folder}/{n}"] for n in self._names(folder) if n.startswith("_bucket=")}
 
     def _commit(self, parent: int, schema: T.StructType, buckets: dict[str, list[str]], notes: dict) -> int:
