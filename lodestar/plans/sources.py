@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.functions.ids import norm_url
 from lodestar.registry import REGISTRY, table
-from lodestar.sources import bronze as B, web as W
+from lodestar.session import shared_path
+from lodestar.sources import archives as A, bronze as B, ledger as L, web as W
 
 NORM_SQL = "lower(regexp_replace(regexp_replace({u}, '#.*$', ''), '/+$', ''))"
 #: Addresses of every shape, beside those of the pages.
@@ -148,3 +149,34 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Equal names are told apart by the order's key.
     marked = B.mark_versions(files.withColumn("name", F.concat(F.regexp_replace("name", r"\.pdf$", ""), F.lit("."), F.lpad(key.cast("string"), 12, "0"))))
     return marked.select("o_orderkey", F.coalesce("family", F.lit("")).alias("family"), "recency", "authority")
+
+
+@REGISTRY.add(
+    "archive_articles",
+    "SELECT doc_id, coalesce(source, '') AS org, coalesce(lang, '') AS type, sha256(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]|<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body_sha256 FROM documents",
+)
+def archive_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an article of zip archives, read back from them."""
+    # Characters that XML has no place for become spaces.
+    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    escaped = lambda c: F.replace(F.replace(F.replace(plain(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    article = F.format_string('<xml><article idMateria="%s" artType="%s" artCategory="%s"><body><Texto>%s</Texto></body></article></xml>', "doc_id", escaped("lang"), escaped("source"), escaped("text"))
+    entries = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".xml")).alias("entry"), article.cast("binary").alias("content"))
+    folder = shared_path(spark, "archives")
+    A.write_archives(entries, f"{folder}/zip").write.parquet(f"{folder}/listing")
+    read = A.read_gazette(spark, spark.read.parquet(f"{folder}/listing").select("archive", "length"))
+    return read.select(F.col("native").cast("long").alias("doc_id"), "org", "type", F.sha2("body", 256).alias("body_sha256"))
+
+
+@REGISTRY.add(
+    "ledger_buckets",
+    f"""SELECT page_id, norm FROM (SELECT page_id, {NORM_SQL.format(u='url')} AS norm FROM pages WHERE page_id % 2 = 1)
+    WHERE norm NOT IN (SELECT {NORM_SQL.format(u='url')} FROM pages WHERE page_id % 2 = 0)""",
+)
+def ledger_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd pages whose address a ledger in buckets doesn't have, to which even pages were appended in two runs."""
+    pages = table(spark, sf_dir, "pages").withColumn("norm", norm_url(F.col("url"))).select("page_id", "norm")
+    ledger = L.BucketedLedger(spark, shared_path(spark, "ledger"))
+    for run in (0, 2):
+        ledger.append(pages.where(F.col("page_id") % 4 == run))
+    return ledger.fresh(pages.where("page_id % 2 = 1"))
