@@ -106,7 +106,7 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [keys(shingles(t.as_py())) for t in batch.column(2).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["text_id", "doc_id", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["digest", "doc_id", "keys"])
 
 
 def _with_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +118,13 @@ def _with_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     """Rows (a, b) of text ids with the same components as the near copies.
 
-    texts has (text_id, text), keyed a row (text_id, keys) per text id.
+    texts has (digest, text), keyed a row (text_id, digest, keys) per text.
     """
     every = keyed.select("text_id", F.posexplode("keys").alias("t", "k"))
     shared = materialize(every.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = materialize(attach(every, shared, ["t", "k"], "n", rows=HOT_KEYS), "met")
-    wanted = bounded(materialize(met.select("text_id").distinct(), "wanted"))
-    some = texts.join(wanted, "text_id", "left_semi").mapInArrow(_with_shingles, "text_id long, found binary")
+    wanted = bounded(materialize(keyed.select("text_id", "digest").join(met.select("text_id").distinct(), "text_id"), "wanted"))
+    some = texts.join(wanted, "digest").select("text_id", "text").mapInArrow(_with_shingles, "text_id long, found binary")
     sets = materialize(some.groupBy("text_id").agg(F.first("found").alias("found")), "sets")
     tiled = met.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod("text_id", F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -141,14 +141,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     than once. Equal texts stay or go together; null texts and texts without
     words have no near copies. An empty table gives an empty result.
     """
-    text_id = F.xxhash64(F.col(text_col))
-    texts = docs.select(text_id.alias("text_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    keyed = texts.mapInArrow(_with_keys, "text_id long, doc_id long, keys array<long>")
-    keyed = materialize(keyed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "keyed")
-    roots = materialize(components(links(texts.select("text_id", "text"), keyed)), "roots")
-    named = roots.join(keyed.select("text_id", "doc_id"), roots.node == F.col("text_id"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    kept = named.groupBy("root").agg(F.min(order).alias("kept")).select("kept.node")
-    gone = materialize(roots.join(kept, "node", "left_anti").select(F.col("node").alias("__gone")), "gone")
+    digest = F.unhex(F.sha2(F.col(text_col), 256))  # tells texts apart at any number of them, as 64 bits don't
+    texts = docs.select(digest.alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    keyed = texts.mapInArrow(_with_keys, "digest binary, doc_id long, keys array<long>")
+    keyed = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    # Numbers of texts, which are the same wherever the written table is read.
+    keyed = materialize(keyed.withColumn("text_id", F.monotonically_increasing_id()), "keyed")
+    roots = materialize(components(links(texts.select("digest", "text"), keyed)), "roots")
+    named = roots.join(keyed.select("text_id", "doc_id", "digest"), roots.node == F.col("text_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    kept = named.groupBy("root").agg(F.min(order).alias("kept")).select("kept.digest")
+    gone = materialize(named.join(kept, "digest", "left_anti").select(F.col("digest").alias("__gone")), "gone")
     release(keyed, roots)
-    return docs.join(bounded(gone), text_id == F.col("__gone"), "left_anti")
+    return docs.join(bounded(gone), digest == F.col("__gone"), "left_anti")
