@@ -9,10 +9,13 @@ least cross-entropy in nats per character is predicted.
 
 Counts are taken by Spark over every learning document: counts of the longest
 grams are summed by key, and the continuation counts of shorter ones follow
-from the distinct longer ones by grouping. Of each language the grams with the
-highest counts make the model, at most MAX_GRAMS in all languages together;
-what the others had goes to the back-off weights. A model is two sorted arrays
-of 64-bit hashes, grams and contexts, searched by bisection.
+from the distinct longer ones by grouping. All grams make the models. Of the
+shorter lengths, as many as have at most MAX_GRAMS grams in all languages
+together, they are in memory: two sorted arrays of 64-bit hashes, grams and
+contexts, searched by bisection. What longer grams and contexts add to them is
+a table. Joins with it give the log-probabilities of the characters, with
+their contexts, that are learned from most often, which workers then hold; the
+others of each text are sent to the same joins, and their sums added.
 
 A score is a logistic function of the lead over the second best language,
 fitted on words and texts of documents that a first model has not seen. A text
@@ -27,20 +30,22 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from itertools import chain
+from dataclasses import dataclass, replace
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.llm.common import materialize, release
+from lodestar.llm.common import attach, materialize, release
 from lodestar.llm.quality_classifier import fit as fit_logistic
 
 #: Characters of the longest gram.
 ORDER = 5
-#: Grams that the models of all languages hold together, at most.
-MAX_GRAMS = 1 << 18
+#: Grams of all languages together that are in memory, at most; of longer grams so many log-probabilities are for each. The others are joined.
+MAX_GRAMS, EACH = 1 << 18, 2
+#: Grams that a worker sends to the joins at a time, about.
+SENT = 1 << 16
 #: Learning documents that the first model doesn't see, one in so many, and how many different ones calibrate at most.
 ASIDE, MAX_CALIBRATION = 8, 2_000
 #: Words of the spans that calibrate besides whole texts.
@@ -227,36 +232,42 @@ def _fold(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Models:
-    """A model for each language, by name in order of code points."""
+    """A model for each language, by name in order of code points.
+
+    Memory holds the grams of up to depth characters. If there are longer
+    ones, longer is their table, and often has rows of the log-probabilities
+    of the most frequent grams, prices, by language.
+    """
 
     names: list[str]
     models: list[Language]
     alphabet: int
+    depth: int = ORDER
+    longer: DataFrame | None = None
+    often: dict[str, int] | None = None
+    prices: list[np.ndarray] | None = None
 
 
 def train(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
     """Models of rows (lang, gram, n); grams without a count don't take part.
 
-    The driver gets the grams of the models, a row for each language and gram
-    length, and nothing else.
+    The driver gets the grams of at most max_grams in all, a row for each
+    language and gram length, and EACH * max_grams log-probabilities at most;
+    all other grams stay in a table.
     """
-    levels = materialize(adjusted_counts(counts.where("n > 0")), "levels")
+    counts = counts.where("n > 0")
+    levels = materialize(adjusted_counts(counts), "levels")
     size = F.char_length("gram")
-    tops = [F.sum((F.col("n") >= (1 << k)).cast("long")).alias(f"top{k}") for k in range(48)]
-    stats = levels.groupBy("lang", size.alias("size")).agg(F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice"), *tops).toPandas()
+    stats = levels.groupBy("lang", size.alias("size")).agg(F.count("*").alias("many"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).toPandas()
     names = sorted(stats["lang"].unique())
     # Different characters: the grams of one.
     alphabet = 1 + levels.where(size == 1).select("gram").distinct().count()
     if not names:
         release(levels)
         return Models([], [], alphabet)
-    by_lang = stats.groupby("lang")[[f"top{k}" for k in range(48)]].sum()
-    room = max_grams // len(names)
-    least = {name: 1 << next((k for k in range(48) if by_lang.loc[name, f"top{k}"] <= room), 48) for name in names}
+    depth = max((k for k in range(1, ORDER + 1) if stats.loc[stats["size"] <= k, "many"].sum() <= max_grams), default=0)
     discounts = {(r.lang, r.size): min(0.9, max(0.1, r.once / (r.once + 2 * r.twice))) if r.once and r.twice else 0.5 for r in stats.itertuples()}
-    limits = levels.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
-    kept = levels.join(F.broadcast(limits), "lang").where("n >= least")
-    rows = kept.select("lang", "gram", size.alias("size"), "n", "total").orderBy("lang", "size", "gram").toArrow()
+    rows = levels.where(size <= depth).select("lang", "gram", size.alias("size"), "n", "total").orderBy("lang", "size", "gram").toArrow()
     # Of each language its stretch of rows.
     stretch = {r["lang"]: r["n_count"] for r in rows.group_by("lang").aggregate([("n", "count")]).to_pylist()}
     models, start = [], 0
@@ -264,8 +275,70 @@ def train(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
         many = stretch.get(name, 0)
         models.append(build(rows.slice(start, many), alphabet, [discounts.get((name, k), 0.5) for k in range(ORDER + 1)]))
         start += many
+    made = Models(names, models, alphabet, depth)
+    if depth < ORDER:
+        made.longer = materialize(weights(levels.where(size > depth), names, discounts), "longer")
+        found = priced(most(counts.groupBy("gram").agg(F.sum("n").alias("n")), EACH * max_grams // len(names)), made).select("gram", "log_p").toArrow()
+        made.often = {gram: k for k, gram in enumerate(found["gram"].to_pylist())}
+        values = found["log_p"].combine_chunks().flatten().to_numpy().reshape(-1, len(names))
+        # The last row is that of other grams.
+        made.prices = [np.append(values[:, k], 0.0) for k in range(len(names))]
     release(levels)
-    return Models(names, models, alphabet)
+    return made
+
+
+def most(counts: DataFrame, room: int) -> DataFrame:
+    """Of rows (gram, n) those of at least a power of two, which are at most room."""
+    tops = counts.agg(*(F.coalesce(F.sum((F.col("n") >= (1 << k)).cast("long")), F.lit(0)) for k in range(63))).first()
+    return counts.where(F.col("n") >= (1 << next((k for k, top in enumerate(tops) if top <= room), 62)))
+
+
+def weights(levels: DataFrame, names: list[str], discounts: dict[tuple[str, int], float]) -> DataFrame:
+    """Rows (key, ahead, lang, value) of levels: a gram's share of its context, and, ahead of a character, a context's back-off weight; lang is a number."""
+    spark, place = levels.sparkSession, {name: k for k, name in enumerate(names)}
+    known = spark.createDataFrame([(name, int(size), place[name], d) for (name, size), d in discounts.items()], "name string, size int, place int, discount double")
+    rows = levels.withColumnRenamed("lang", "name").withColumn("size", F.char_length("gram")).join(F.broadcast(known), ["name", "size"])
+    shares = rows.select(F.col("gram").alias("key"), F.lit(False).alias("ahead"), F.col("place").alias("lang"), ((F.col("n") - F.col("discount")) / F.col("total")).alias("value"))
+    # Each gram of a context leaves it one discount.
+    contexts = rows.groupBy(F.expr("substring(gram, 1, size - 1)").alias("key"), F.lit(True).alias("ahead"), F.col("place").alias("lang"))
+    return shares.unionByName(contexts.agg((F.first("discount") * F.count("*") / F.first("total")).alias("value")))
+
+
+def priced(grams: DataFrame, models: Models) -> DataFrame:
+    """Rows (gram, n) with log_p: of the last character after the others, by all languages."""
+    spark, depth = grams.sparkSession, models.depth
+    sent = spark.sparkContext.broadcast(models.models)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column(0).to_pylist()
+            sizes, out = np.array([len(g) for g in some]), np.zeros((len(some), len(sent.value)))
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                codes = np.frombuffer("".join(some[k] for k in at).encode("utf-32-le"), np.uint32).reshape(-1, size)
+                ending = [_fold(codes[:, size - k :]) for k in range(size + 1)]
+                before = [_fold(codes[:, size - 1 - k : size - 1]) for k in range(size)]
+                for k, model in enumerate(sent.value):
+                    out[at, k] = np.exp(model.log_probability(ending, before, np.full(len(at), size - 1)))
+            offsets = np.arange(len(some) + 1, dtype=np.int32) * out.shape[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))], ["gram", "n", "p"])
+
+    grams = grams.select("gram", "n")
+    short = grams.mapInArrow(run, "gram string, n long, p array<double>").select("gram", "n", F.posexplode("p").alias("lang", "p"))
+    size = F.char_length("gram")
+    ends = grams.where(size > depth).select("gram", F.explode(F.sequence(F.lit(depth + 1), size)).alias("k"))
+    ends = ends.select("gram", "k", F.col("gram").substr(size - F.col("k") + 1, F.col("k")).alias("end"))
+    asked = ends.select("gram", "k", F.explode(F.array(F.struct(F.col("end").alias("key"), F.lit(False).alias("ahead")), F.struct(F.expr("substring(end, 1, k - 1)").alias("key"), F.lit(True).alias("ahead")))).alias("one"))
+    found = asked.select("gram", "k", "one.key", "one.ahead").join(models.longer, ["key", "ahead"]).select("gram", "k", "ahead", "lang", "value")
+    both = short.unionByName(found, allowMissingColumns=True).repartition("gram")
+    longer = range(depth + 1, ORDER + 1)
+    of = lambda k, ahead: F.max(F.when((F.col("k") == k) & (F.col("ahead") == ahead), F.col("value")))
+    rows = both.groupBy("gram", "lang").agg(F.max("n").alias("n"), F.max("p").alias("p"), *(of(k, ahead).alias(f"{name}{k}") for k in longer for ahead, name in ((False, "share"), (True, "back"))))
+    p = F.col("p")
+    for k in longer:
+        p = F.coalesce(f"share{k}", F.lit(0.0)) + F.coalesce(f"back{k}", F.lit(1.0)) * p
+    by_lang = F.sort_array(F.collect_list(F.struct("lang", F.log(p).alias("log_p"))))
+    return rows.groupBy("gram").agg(F.max("n").alias("n"), by_lang.getField("log_p").alias("log_p"))
 
 
 class _Numbers(dict):
@@ -286,8 +359,10 @@ class Scorer:
 
     def __init__(self, models: Models) -> None:
         self.models = models.models
+        self.often, self.prices = models.often, models.prices
         self.known = _Numbers()
-        self.values = np.zeros((1024, len(self.models)))
+        self.values, self.lacks = np.zeros((1024, len(self.models))), np.zeros(1024, bool)
+        self.lacking: dict[int, list[str]] = {}
 
     def words(self, words: list[str]) -> np.ndarray:
         """A row of log-probabilities for each word."""
@@ -302,31 +377,61 @@ class Scorer:
         starts = starts - np.arange(len(starts))
         return np.stack([np.add.reduceat(m.log_probability(ending, before, depth), starts) for m in self.models], 1)
 
-    def rows(self, words: Iterable[str]) -> np.ndarray:
-        """Rows of log-probabilities of words, of which new ones are scored together."""
+    def often_words(self, words: list[str]) -> tuple[np.ndarray, dict[int, list[str]]]:
+        """A row for each word, of its frequent grams, and by place the others of words that have such."""
+        padded = [EDGE + w + EDGE for w in words]
+        grams = [w[max(0, k - ORDER) : k] for w in padded for k in range(2, len(w) + 1)]
+        at = np.fromiter(map(self.often.get, grams, repeat(-1)), np.int64, len(grams))
+        sizes = np.array([len(w) - 1 for w in padded], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        lacking = np.flatnonzero(at < 0)
+        others: dict[int, list[str]] = defaultdict(list)
+        for k, word in zip(lacking.tolist(), (np.searchsorted(starts, lacking, "right") - 1).tolist()):
+            others[word].append(grams[k])
+        return np.stack([np.add.reduceat(p[at], starts) for p in self.prices], 1), others
+
+    def numbers(self, words: Iterable[str]) -> np.ndarray:
+        """Numbers of words, of which new ones are scored together."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.lacking.clear()
         scored = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64)
         if new := self.known.new:
-            if len(self.known) > len(self.values):
-                self.values = np.concatenate((self.values, np.zeros((len(self.known), len(self.models)))))
-            self.values[scored : scored + len(new)] = self.words(new)
+            if (more := len(self.known) - len(self.values)) > 0:
+                self.values = np.concatenate((self.values, np.zeros((more, len(self.models)))))
+                self.lacks = np.concatenate((self.lacks, np.zeros(more, bool)))
+            rows, others = (self.words(new), {}) if self.often is None else self.often_words(new)
+            self.values[scored : scored + len(new)] = rows
+            self.lacks[scored : scored + len(new)] = False
+            for k, grams in others.items():
+                self.lacks[scored + k] = True
+                self.lacking[scored + k] = grams
             new.clear()
-        return self.values[at]
+        return at
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, int]]:
         """For each text its log-probabilities and how many characters they are of, edges included."""
+        for found, chars, _ in self.parts(texts):
+            yield found, chars
+
+    def parts(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, int, dict[str, int]]]:
+        """For each text also the grams that its log-probabilities lack, with counts."""
         held: list[tuple[int, list[str]]] = []
         sums: dict[int, np.ndarray] = {}
+        others: dict[int, Counter] = defaultdict(Counter)
         chars: list[int] = []
         room = told = 0
 
         def settle() -> None:
             if held:
-                found = np.add.reduceat(self.rows(chain.from_iterable(some for _, some in held)), np.cumsum([0, *(len(some) for _, some in held[:-1])]), axis=0)
-                for (k, _), row in zip(held, found):
+                at = self.numbers(chain.from_iterable(some for _, some in held))
+                starts = np.cumsum([0, *(len(some) for _, some in held[:-1])])
+                for (k, _), row in zip(held, np.add.reduceat(self.values[at], starts, axis=0)):
                     sums[k] = sums[k] + row if k in sums else row
+                lacking = np.flatnonzero(self.lacks[at])
+                for word, place in zip(at[lacking].tolist(), (np.searchsorted(starts, lacking, "right") - 1).tolist()):
+                    others[held[place][0]].update(self.lacking[word])
             held.clear()
 
         for k, text in enumerate(texts):
@@ -341,11 +446,52 @@ class Scorer:
                     room = 0
             if not held:
                 for j in range(told, k + 1):
-                    yield sums.pop(j, None), chars[j]
+                    yield sums.pop(j, None), chars[j], others.pop(j, {})
                 told = k + 1
         settle()
         for j in range(told, len(chars)):
-            yield sums.pop(j, None), chars[j]
+            yield sums.pop(j, None), chars[j], others.pop(j, {})
+
+
+def scored(docs: DataFrame, models: Models) -> DataFrame:
+    """Rows of docs with chars and log_p, by all languages, in place of text; log_p is null where no letter is."""
+    sent = docs.sparkSession.sparkContext.broadcast(replace(models, longer=None))
+    names = [c for c in docs.columns if c != "text"]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "row long, chars long, log_p array<double>, others array<struct<gram: string, n: bigint>>"])
+    kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())])))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+
+        def made(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [*names, "row", "chars", "log_p", "others"])
+
+        for batch in batches:
+            rows, start, load = [], 0, 0
+            texts = (t.as_py() for t in batch.column(len(names) + 1)) if sent.value.names else repeat(None, len(batch))
+            for log_p, chars, others in scorer.parts(texts):
+                rows.append((chars, log_p.tolist() if chars else None, [{"gram": g, "n": n} for g, n in others.items()]))
+                load += len(others)
+                if load > SENT:
+                    yield made(batch.slice(start, len(rows)), rows)
+                    rows, start, load = [], start + len(rows), 0
+            if rows:
+                yield made(batch.slice(start, len(rows)), rows)
+
+    rows = docs.select(*names, F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, schema)
+    if models.longer is None:
+        return rows.select(*names, "chars", "log_p")
+    rows = materialize(rows, "scored")
+    others = rows.select("row", F.explode("others").alias("one")).select("row", "one.gram", F.col("one.n").alias("times"))
+    seen = materialize(others.groupBy("gram").agg(F.count("*").alias("n")), "seen")
+    prices = materialize(priced(seen, models), "prices")
+    release(seen)
+    # Sums of decimals don't depend on their order.
+    each = attach(others, prices, "gram", "n").select("row", F.col("times").cast("decimal(12,0)").alias("times"), F.posexplode("log_p").alias("lang", "value"))
+    sums = each.groupBy("row", "lang").agg(F.sum(F.col("value").cast("decimal(20,15)") * F.col("times")).cast("double").alias("sum"))
+    sums = sums.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lang", "sum"))).getField("sum").alias("sums"))
+    log_p = F.when(F.col("sums").isNull(), F.col("log_p")).otherwise(F.zip_with("log_p", "sums", lambda a, b: a + b))
+    return rows.join(sums, "row", "left").select(*names, "chars", log_p.alias("log_p"))
 
 
 @dataclass
@@ -384,25 +530,30 @@ def best(log_p: np.ndarray, chars: int, alphabet: int) -> tuple[int, float, floa
 
 def calibrate(docs: DataFrame, models: Models) -> Calibration:
     """Fit scores on rows (lang, aside, text): different texts set aside, the MAX_CALIBRATION of least hash, and a span of each length of theirs."""
-    spark = docs.sparkSession
     aside = docs.where("aside").withColumn("place", F.xxhash64("text"))
     last = aside.select("place").distinct().orderBy("place").limit(MAX_CALIBRATION).agg(F.max("place")).first()[0]
-    sent = spark.sparkContext.broadcast(models)
+    names, alphabet = models.names, models.alphabet
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, scorer = sent.value, Scorer(sent.value)
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in models.names:
+                if lang not in names:
                     continue
                 words = [w for some in words_of(text) for w in some]
                 draw = random.Random(zlib.crc32(text.encode()))
                 spans = [words, *(words[(k := draw.randrange(len(words) - n + 1)) : k + n] for n in SPANS if n < len(words))]
-                for k, (log_p, chars) in enumerate(scorer.texts(map(" ".join, spans))):
-                    if chars:
-                        pick, entropy, lead = best(log_p, chars, models.alphabet)
-                        rows.append((lang, models.names[pick] == lang, k == 0, entropy, lead, chars))
+                rows += [(lang, k == 0, " ".join(span)) for k, span in enumerate(spans)]
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.string()))], ["lang", "whole", "text"])
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, whole, chars, log_p in zip(*(c.to_pylist() for c in batch.columns)):
+                if chars:
+                    pick, entropy, lead = best(np.array(log_p), chars, alphabet)
+                    rows.append((lang, names[pick] == lang, whole, entropy, lead, chars))
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "right", "whole", "entropy", "lead", "chars"])
@@ -410,7 +561,8 @@ def calibrate(docs: DataFrame, models: Models) -> Calibration:
     found: list = []
     if last is not None and models.names:
         different = aside.where(F.col("place") <= last).groupBy("place").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.lang", "row.text")
-        found = different.mapInArrow(run, "lang string, right boolean, whole boolean, entropy double, lead double, chars long").collect()
+        spans = different.mapInArrow(cut, "lang string, whole boolean, text string")
+        found = scored(spans, models).mapInArrow(judge, "lang string, right boolean, whole boolean, entropy double, lead double, chars long").collect()
     found.sort(key=tuple)
     # Without a lead a prediction may as well be wrong.
     x = np.array([evidence(r.lead, r.chars) for r in found] + [evidence(0.0, 1)] * 2)
@@ -432,16 +584,18 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % 4 == 2
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Models, Calibration]:
-    """Models of all documents that aren't held out and have a language, and their calibration."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> tuple[Models, Calibration]:
+    """Models of all documents that aren't held out and have a language, and their calibration; max_grams bounds memory, not the models."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     some = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull())
     # Copies of a text are on the same side.
     rows = some.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(ASIDE)) == 0).alias("aside"))
     counts = materialize(gram_counts(rows), "grams")
-    first = train(counts.select("lang", "gram", F.col("n_first").alias("n")))
+    first = train(counts.select("lang", "gram", F.col("n_first").alias("n")), max_grams)
     calibration = calibrate(rows, first)
-    models = train(counts.select("lang", "gram", "n"))
+    if first.longer is not None:
+        release(first.longer)
+    models = train(counts.select("lang", "gram", "n"), max_grams)
     release(counts)
     return models, calibration
 
@@ -455,25 +609,22 @@ def identify(docs: DataFrame, models: Models, calibration: Calibration, id_col:
     false; they keep their score. Texts are read whole; repeated rows each
     give a row; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((models, calibration))
+    names, alphabet = models.names, models.alphabet
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, calibration = sent.value
-        scorer = Scorer(models)
         for batch in batches:
             rows = []
-            texts = (t.as_py() for t in batch.column(2)) if models.names else (None for _ in range(len(batch)))
-            for log_p, chars in scorer.texts(texts):
-                if not chars:
+            for chars, log_p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if not chars or not names:
                     rows.append((UNDETERMINED, 0.0, None, False))
                     continue
-                k, entropy, lead = best(log_p, chars, models.alphabet)
+                k, entropy, lead = best(np.array(log_p), chars, alphabet)
                 score = calibration.score(lead, chars)
-                accepted = score >= LEAST_SCORE and calibration.usual(models.names[k], entropy, chars)
-                rows.append((models.names[k] if accepted or not reject else UNDETERMINED, score, entropy, accepted))
+                accepted = score >= LEAST_SCORE and calibration.usual(names[k], entropy, chars)
+                rows.append((names[k] if accepted or not reject else UNDETERMINED, score, entropy, accepted))
             columns = list(zip(*rows)) or [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean")
+    return scored(rows, models).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean")

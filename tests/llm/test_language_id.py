@@ -89,6 +89,47 @@ def test_probabilities_add_up(corpus, most):
             assert abs(p.sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("most", [1, 120, 500, 1 << 20])
+def test_what_memory_has_no_room_for_counts(corpus, spark, most, monkeypatch):
+    rows, docs = corpus
+    words = {lang: Counter(w for _, t, l, _ in rows if l == lang for some in li.words_of(t) for w in some) for lang in SYLLABLES}
+    models = li.train(li.gram_counts(docs).select("lang", "gram", "n"), most)
+    assert models.names == ["xx", "yy", "zz"] and sum(len(m.grams) for m in models.models) <= most
+    assert (models.longer is None) == (most == 1 << 20) and (models.often is None or len(models.often) <= li.EACH * most // 3)
+    texts = [t for _, t, _, _ in rows] + [text_of(lang, "new", 30) for lang in SYLLABLES] + ["q kaqro supercalifragilistic ωω", "ka " * 500, "x" * 300, None, "12"]
+    plain = {lang: Plain(words[lang], models.alphabet) for lang in SYLLABLES}
+    known = {w: [plain[lang].word(w) for lang in models.names] for w in {w for t in texts for some in li.words_of(t) for w in some}}
+    monkeypatch.setattr(li, "SENT", 50)
+    asked = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    got = {r.k: r for r in li.scored(asked, models).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        found = [w for some in li.words_of(text) for w in some]
+        assert got[k].chars == sum(len(w) + 1 for w in found)
+        if found:
+            assert np.allclose(got[k].log_p, np.sum([known[w] for w in found], axis=0), rtol=1e-9)
+        else:
+            assert got[k].log_p is None
+    again = {r.k: r for r in li.scored(asked.repartition(2), models).collect()}
+    assert again == got
+
+
+def test_predictions_are_those_of_whole_models(spark):
+    rows = [(k, text_of(lang, k, 3 + k % 40), lang, k % 8 == 0) for k, lang in enumerate(["xx", "yy", "zz"] * 60)]
+    docs = spark.createDataFrame([*rows, (500, None, None, False), (501, "12", None, False)], "doc_id long, text string, lang string, aside boolean")
+    told = docs.where("lang is not null")
+    counts = li.materialize(li.gram_counts(told), "grams")
+    made = []
+    for most in (90, 1 << 20):
+        models = li.train(counts.select("lang", "gram", F.col("n_first").alias("n")), most)
+        made.append({r.doc_id: r for r in li.identify(docs, models, li.calibrate(told, models), reject=False).collect()})
+    few, whole = made
+    assert len(few) == len(whole) == len(rows) + 2
+    for k, r in whole.items():
+        assert few[k].lang_pred == r.lang_pred and few[k].accepted == r.accepted and abs(few[k].score - r.score) < 1e-6
+        assert few[k].cross_entropy == r.cross_entropy or abs(few[k].cross_entropy - r.cross_entropy) < 1e-9
+
+
 def test_scores_don_t_depend_on_batches_or_memory(corpus, monkeypatch):
     rows, docs = corpus
     models = li.train(li.gram_counts(docs).select("lang", "gram", "n"))
