@@ -166,8 +166,8 @@ FROM documents
 
 @REGISTRY.add("content_flags", _FLAGS_SQL)
 def content_flags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document seems to contain."""
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in content_flags(F.col("text")).items()])
+    """What every document seems to contain; null of a document without a text."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.when(F.col("text").isNotNull(), c).alias(n) for n, c in content_flags(F.col("text")).items()])
 
 
 @REGISTRY.add(
