@@ -23,6 +23,11 @@ def test_content_flags_next_to_other_letters(spark, tmp_path):
     assert_same(REGISTRY.queries["content_flags"](spark, str(tmp_path)), REGISTRY.oracles["content_flags"], str(tmp_path))
 
 
+def test_chunks_next_to_other_letters(spark, tmp_path):
+    spark.createDataFrame([(k, "s", t) for k, t in enumerate(TEXTS) if t is not None], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(REGISTRY.queries["rag_chunks"](spark, str(tmp_path)), REGISTRY.oracles["rag_chunks"], str(tmp_path))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_patterns_find_what_they_find_in_the_sql(spark, seed):
     draw = random.Random(seed)
