@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.functions.ids import documents_hash
+from lodestar.functions.ids import listed_hash
 from lodestar.functions.text import slugify, trigram_overlap, word_tokens
 from lodestar.operators import eligibility as E, gold as O, silver as S
 from lodestar.registry import REGISTRY, table
@@ -97,7 +97,7 @@ def section_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("content_hash", "SELECT source, md5(array_to_string(list_sort(list(md5(doc_id::VARCHAR || chr(31) || text))), '|')) AS source_hash, count(*) AS n_documents FROM documents GROUP BY source")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of each source's documents."""
-    return documents_hash(table(spark, sf_dir, "documents"), ["source"], F.col("doc_id"), F.col("text"))
+    return listed_hash(table(spark, sf_dir, "documents"), ["source"], F.col("doc_id"), F.col("text"))
 
 
 @REGISTRY.add("stale_gate", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")

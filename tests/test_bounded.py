@@ -7,8 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar import plans
 from lodestar.functions import ids as I
 from lodestar.operators import metrics as M
+from lodestar.registry import REGISTRY
+from tests.oracle import assert_same
+
+plans.load()
 
 
 @pytest.mark.parametrize("bins", [2, 4096])
@@ -54,3 +59,13 @@ def test_hashes_of_groups(spark, monkeypatch):
         got = I.documents_hash(frame.repartition(parts), ["source"], F.col("name"), F.col("content"))
         assert {r.source: (r.source_hash, r.n_documents) for r in got.collect()} == want
     assert I.documents_hash(frame.limit(0), ["source"], F.col("name"), F.col("content")).collect() == []
+
+
+@pytest.mark.parametrize("streamed", [3, 256])
+def test_hash_of_listed_documents(spark, monkeypatch, tmp_path, streamed):
+    monkeypatch.setattr(I, "STREAMED", streamed)
+    rows = [(k, "hot", f"text {k}") for k in range(1300)] + [(5, "hot", "text 5")] * 9000 + [(k, "few", "t") for k in range(3)] + [(1, None, "t"), (None, "few", "t"), (7, "few", None), (8, "none", None), (9, "hot", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(REGISTRY.queries["content_hash"](spark, str(tmp_path)), REGISTRY.oracles["content_hash"], str(tmp_path))
+    empty = spark.createDataFrame([], "doc_id long, source string, text string")
+    assert I.listed_hash(empty, ["source"], F.col("doc_id"), F.col("text")).collect() == []
