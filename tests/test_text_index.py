@@ -101,3 +101,25 @@ def test_hot_word_and_empty_table(spark):
     with pytest.raises(ValueError):
         T.full_text(index, query.union(query))
     assert session.clear(spark) > 0
+
+
+def test_repeated_ids(spark):
+    rows = [*DOCS, (2, "projeto de financiamento"), (2, None), (None, "projeto sem número"), (None, "outro projeto")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    index = T.build(docs)
+    want = defaultdict(list)
+    lengths = Counter()
+    for key, text in rows:
+        for k, w in words_of(text):
+            want[key, w].append(k)
+            lengths[key] += 1
+    got = {(r.id, r.word): (r.tf, list(r.positions), r.length) for r in index.postings.collect()}
+    assert got == {(key, w): (len(p), sorted(p), lengths[key]) for (key, w), p in want.items()}
+    assert index.documents == len({key for key, _ in rows})
+
+
+def test_no_posting_is_shuffled(spark):
+    docs = spark.range(2000).select("id", F.concat(F.lit("projeto comum "), F.col("id").cast("string")).alias("text"))
+    packs = T._packed(docs)
+    assert packs.count() <= 2 * packs.rdd.getNumPartitions() and packs.agg(F.sum("n")).first()[0] == 4000
+    assert "Exchange" not in packs._jdf.queryExecution().executedPlan().toString()
