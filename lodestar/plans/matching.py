@@ -172,16 +172,17 @@ aff AS (SELECT entity, avg(s) AS affinity, max(s) AS best FROM (SELECT entity, c
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The profile's chunks, and those of entities."""
     e = table(spark, sf_dir, "embeddings")
     company = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("company_chunk"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 60 == 0, "hyde").otherwise("profile").alias("origin"))
-    return M.pair_scores(company, e.where("vec_id % 20 > 0").select(F.col("label").alias("entity"), F.col("vec_id").alias("entity_chunk"), F.col("embedding").alias("vector")))
+    return company, e.where("vec_id % 20 > 0").select(F.col("label").alias("entity"), F.col("vec_id").alias("entity_chunk"), F.col("embedding").alias("vector"))
 
 
 @REGISTRY.add("maxsim_affinity", f"WITH {_PAIRS_SQL} SELECT entity, round(affinity, 6) AS affinity, round(best, 6) AS best FROM aff")
 def maxsim_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late-interaction affinity of every entity with a profile, the chunks whose id is divisible by 20."""
-    return M.affinity(_pairs(spark, sf_dir)).select("entity", F.round("affinity", 6).alias("affinity"), F.round("best", 6).alias("best"))
+    return M.affinities(*_chunks(spark, sf_dir)).select("entity", F.round("affinity", 6).alias("affinity"), F.round("best", 6).alias("best"))
 
 
 @REGISTRY.add(
@@ -192,7 +193,7 @@ def maxsim_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def maxsim_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best pairs of every entity."""
-    return M.excerpts(_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return M.best_excerpts(*_chunks(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
 @REGISTRY.add(
@@ -209,7 +210,7 @@ def match_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = table(spark, sf_dir, "orders").select(
         key.cast("int").alias("entity"), F.when(F.to_date("o_orderdate") >= "1992-06-01", "active").otherwise("closed").alias("validity"),
         F.when(key == 4, "inelegivel").otherwise("elegivel").alias("status"), F.array(F.when(key % 2 == 0, "Saúde").otherwise("Energia")).alias("sectors"))
-    best = M.funnel(entities, _pairs(spark, sf_dir), F.array(F.lit("Saúde")), floor=0.3)
+    best = M.funnel_of(entities, *_chunks(spark, sf_dir), F.array(F.lit("Saúde")), floor=0.3)
     return best.select("entity", F.round("score", 6).alias("score"), "status")
 
 
